@@ -1,0 +1,107 @@
+"""Frequency of every distinct value: occurrences, records and a mark.
+
+Last-seen counters: values reach the counters ordered by record; a value's counter keeps
+its occurrences, its records and the last record that held it, so a record is counted when
+it is not the one seen last and no set of records is ever kept. Records are spread by the
+hash of their id, not values by theirs, so a value found in a third of all records loads no
+task more than others; the partial counters of a task are added up afterwards, which is
+exact because a record is seen by one task only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.common import latest
+
+COMMON_SHARE = 0.01
+RARE_BELOW = 3
+#: Counters a task keeps before it passes them on and starts again.
+COUNTERS = 1_000_000
+BLANKS = " \t\n"
+
+_OUT = pa.schema([("field", pa.string()), ("term", pa.string()), ("n_occ", pa.int64()), ("n_records", pa.int64())])
+
+
+def _counter(fields: list[str], limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, list] = {}
+        offset = 0
+        for batch in batches:
+            for name in fields:
+                lists = batch.column(name)
+                at = pc.list_parent_indices(lists)
+                values = pc.utf8_trim(pc.list_flatten(lists).cast(pa.string()), characters=BLANKS)
+                keep = pc.fill_null(pc.greater(pc.utf8_length(values), 0), False)
+                values, at = values.filter(keep), at.filter(keep)
+                if not len(values):
+                    continue
+                coded = pc.dictionary_encode(values)
+                codes, seen_in = coded.indices.to_numpy(zero_copy_only=False), at.to_numpy(zero_copy_only=False) + offset
+                order = np.argsort(codes, kind="stable")
+                c, r = codes[order], seen_in[order]
+                new = np.ones(len(c), bool)  # not the record in which the value was seen last
+                new[1:] = (c[1:] != c[:-1]) | (r[1:] != r[:-1])
+                n_occ = np.bincount(c)
+                n_rec = np.bincount(c[new], minlength=len(n_occ))
+                for term, occ, rec in zip(coded.dictionary.to_pylist(), n_occ.tolist(), n_rec.tolist()):
+                    k = counts.get((name, term))
+                    if k is None:
+                        counts[name, term] = [occ, rec]
+                    else:
+                        k[0] += occ
+                        k[1] += rec
+                whole = counts.setdefault((name, None), [0, 0])  # records with a value in the field
+                whole[0] += len(values)
+                whole[1] += int((np.diff(seen_in, prepend=-1) != 0).sum())
+            offset += batch.num_rows
+            if len(counts) > limit:
+                yield _batch(counts)
+                counts = {}
+        if counts:
+            yield _batch(counts)
+
+    return run
+
+
+def _batch(counts: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
+         pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())],
+        schema=_OUT,
+    )
+
+
+def term_counts(rows: DataFrame, record: str, fields: list[str], limit: int = COUNTERS) -> DataFrame:
+    """(field, term, n_occ, n_records) over ``rows`` with one row per record.
+
+    Values are cut of spaces, tabs and line feeds at their ends; null and blank values are
+    left out; a null array equals an empty one. The row of a field with null ``term`` holds
+    the totals: values, and records with at least one. A null record id is a record like any
+    other. Rows must be unique by ``record``; see :func:`frequencies` for rows delivered again.
+    """
+    lists = rows.select(F.col(record).alias("_record"), *[F.coalesce(F.col(f).cast("array<string>"), F.array().cast("array<string>")).alias(f) for f in fields])
+    ordered = lists.sortWithinPartitions("_record")
+    part = ordered.mapInArrow(_counter(fields, limit), "field string, term string, n_occ long, n_records long")
+    return part.groupBy("field", "term").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_records").alias("n_records"))
+
+
+def frequencies(rows: DataFrame, record: str, fields: list[str], common: float = COMMON_SHARE, rare: int = RARE_BELOW) -> DataFrame:
+    """(field, term, n_occ, n_records, mark): every distinct value of the fields.
+
+    ``mark`` is 'common' if more than the share ``common`` of the records with a value hold
+    it, else 'rare' if fewer than ``rare`` do, else 'ok'. Rows delivered again (same record
+    id) count once, the latest by ``loaded_at``. An empty table gives no rows.
+    """
+    once = latest(rows.select(record, *fields, "loaded_at"), record)
+    counts = term_counts(once, record, fields)
+    totals = counts.filter("term is null").select("field", F.col("n_records").alias("_all"))
+    mark = F.when(F.col("n_records") > common * F.col("_all"), "common").when(F.col("n_records") < rare, "rare").otherwise("ok")
+    out = counts.filter("term is not null").join(F.broadcast(totals), "field")  # one row a field
+    return out.select("field", "term", "n_occ", "n_records", mark.alias("mark"))
