@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from skein.common import table
-from skein.llm import secrets
+from skein.llm import bpe, secrets
+
+#: Where the vocabulary files of public tokenizers are.
+TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
 
 
 def p3_found(spark, d):
@@ -14,5 +19,9 @@ def p3_redacted(spark, d):
     return secrets.find_secrets(table(spark, d, "entities"), table(spark, d, "relationships"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted}
+def p7_ids(spark, d):
+    return bpe.encode(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+QUERIES = {"p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
 ORACLE: dict[str, str] = {}
