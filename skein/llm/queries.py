@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from skein.common import table
-from skein.llm import bpe, secrets
+from skein.llm import bpe, contamination, secrets
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
@@ -23,5 +23,9 @@ def p7_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
+def p8_found(spark, d):
+    return contamination.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p8_found": p8_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
 ORACLE: dict[str, str] = {}
