@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from skein.common import table
-from skein.llm import bpe, contamination, secrets
+from skein.llm import bpe, contamination, langid, secrets
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
@@ -27,5 +27,13 @@ def p8_found(spark, d):
     return contamination.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p8_found": p8_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
+def p9_found(spark, d):
+    return langid.languages(table(spark, d, "documents")).filter("is_case").select("doc_id", "block_no", "lang")
+
+
+def p9_languages(spark, d):
+    return langid.languages(table(spark, d, "documents")).drop("is_case")
+
+
+QUERIES = {"p9_found": p9_found, "p9_languages": p9_languages, "p8_found": p8_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
 ORACLE: dict[str, str] = {}
