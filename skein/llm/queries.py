@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from skein.common import table
-from skein.llm import bpe, contamination, langid, secrets
+from skein.llm import bpe, broken, contamination, langid, secrets
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
@@ -19,6 +19,14 @@ def p3_redacted(spark, d):
     return secrets.find_secrets(table(spark, d, "entities"), table(spark, d, "relationships"))
 
 
+def p6_found(spark, d):
+    return broken.checked(table(spark, d, "files")).filter("broken").select("file_id").distinct()
+
+
+def p6_rates(spark, d):
+    return broken.rates(table(spark, d, "files"))
+
+
 def p7_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -35,5 +43,5 @@ def p9_languages(spark, d):
     return langid.languages(table(spark, d, "documents")).drop("is_case")
 
 
-QUERIES = {"p9_found": p9_found, "p9_languages": p9_languages, "p8_found": p8_found, "p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
+QUERIES = {"p9_found": p9_found, "p9_languages": p9_languages, "p8_found": p8_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,207 @@
+"""Parsing with derivatives over token streams, memoised.
+
+A language is a set of stacks of grammar nodes (what may still follow, the next node on
+top). Its derivative by a token is the set of what may follow after that token. Stacks are
+shared and every derivative is kept, of a node, of a stack and of a whole language, so the
+languages met while parsing become the states of a growing automaton and a token costs one
+look-up. The empty language marks the token at which the text fails; a language at the end
+that does not hold the empty word marks a truncated text.
+"""
+
+from __future__ import annotations
+
+import re
+
+_TOKEN = re.compile(r"\s+|#[^\n]*|'([^']+)'|([A-Za-z_][A-Za-z_0-9]*)|([()|?*+=;%])")
+#: Languages kept before all are forgotten.
+MOST_STATES = 150_000
+
+
+class Cell:
+    """A stack: a node on top of the rest."""
+
+    __slots__ = ("node", "rest", "memo", "nullable")
+
+    def __init__(self, node, rest, nullable):
+        self.node, self.rest, self.memo, self.nullable = node, rest, {}, nullable
+
+
+class State:
+    """A language: the stacks it is made of, and the derivatives known so far."""
+
+    __slots__ = ("cells", "next", "nullable")
+
+    def __init__(self, cells):
+        self.cells, self.next = cells, {}
+        self.nullable = any(c is None or c.nullable for c in cells)
+
+
+class Grammar:
+    """A grammar in EBNF: ``Name = a 'b' (c | d)* ;`` with ``x % y`` for x's between y's.
+
+    Lower- and upper-case names that have no rule are kinds of tokens. No left recursion.
+    """
+
+    def __init__(self, text: str, start: str):
+        self.rules, self.start_rule = {}, start
+        self._tokens, pos = [], 0
+        while pos < len(text):
+            m = _TOKEN.match(text, pos)
+            if not m:
+                raise ValueError(f"grammar: {text[pos:pos + 40]!r}")
+            pos = m.end()
+            if m.lastindex:
+                self._tokens.append((m.lastindex, m[m.lastindex]))
+        self._at = 0
+        while self._at < len(self._tokens):
+            name = self._take()[1]
+            self._expect("=")
+            self.rules[name] = self._alternatives()
+            self._expect(";")
+        self._null: dict = {}
+        self._nullables()
+        self.reset()
+
+    def _take(self):
+        self._at += 1
+        return self._tokens[self._at - 1]
+
+    def _peek(self):
+        return self._tokens[self._at] if self._at < len(self._tokens) else (3, ";")
+
+    def _expect(self, sign):
+        if self._take() != (3, sign):
+            raise ValueError(f"grammar: {sign} missing near {self._tokens[max(0, self._at - 6):self._at]}")
+
+    def _alternatives(self):
+        parts = [self._sequence()]
+        while self._peek() == (3, "|"):
+            self._take()
+            parts.append(self._sequence())
+        return parts[0] if len(parts) == 1 else ("alt", tuple(parts))
+
+    def _sequence(self):
+        parts = []
+        while self._peek() not in ((3, "|"), (3, ")"), (3, ";")):
+            kind, value = self._take()
+            if (kind, value) == (3, "("):
+                node = self._alternatives()
+                self._expect(")")
+            else:
+                node = ("t", value) if kind == 1 else ("n", value)
+            while self._peek() in ((3, "?"), (3, "*"), (3, "+"), (3, "%")):
+                sign = self._take()[1]
+                if sign == "%":
+                    kind, value = self._take()
+                    between = ("t", value) if kind == 1 else ("n", value)
+                    node = ("seq", (node, ("star", ("seq", (between, node)))))
+                else:
+                    node = {"?": ("alt", (node, ("seq", ()))), "*": ("star", node), "+": ("seq", (node, ("star", node)))}[sign]
+            parts.append(node)
+        return parts[0] if len(parts) == 1 else ("seq", tuple(parts))
+
+    def _nullables(self) -> None:
+        nullable, changed = {n: False for n in self.rules}, True
+
+        def of(node):
+            kind, arg = node
+            if kind == "seq":
+                return all(map(of, arg))
+            if kind == "alt":
+                return any(map(of, arg))
+            return kind == "star" or (kind == "n" and nullable.get(arg, False))
+
+        while changed:
+            changed = False
+            for name, body in self.rules.items():
+                if not nullable[name] and of(body):
+                    nullable[name] = changed = True
+        self._is_null = of
+
+    def reset(self) -> None:
+        """Forget all derivatives of languages."""
+        self._node_memo, self._cells, self._states = {}, {}, {}
+        self.empty = self._state(frozenset())
+        self.first = self._state(frozenset([self._push((("n", self.start_rule),), None)]))
+
+    def _nullable(self, node) -> bool:
+        found = self._null.get(node)
+        if found is None:
+            found = self._null[node] = self._is_null(node)
+        return found
+
+    def _node(self, node, token) -> frozenset:
+        """The derivative of a node: what may remain of it after the token."""
+        key = node, token
+        found = self._node_memo.get(key)
+        if found is not None:
+            return found
+        kind, arg = node
+        if kind == "t" or kind == "n" and arg not in self.rules:
+            out = frozenset([()]) if arg == token else frozenset()
+        elif kind == "n":
+            out = self._node(self.rules[arg], token)
+        elif kind == "alt":
+            out = frozenset().union(*(self._node(x, token) for x in arg))
+        elif kind == "star":
+            out = frozenset(r + (node,) for r in self._node(arg, token))
+        else:
+            out = set()
+            for i, x in enumerate(arg):
+                out |= {r + arg[i + 1 :] for r in self._node(x, token)}
+                if not self._nullable(x):
+                    break
+            out = frozenset(out)
+        self._node_memo[key] = out
+        return out
+
+    def _push(self, nodes, rest):
+        for node in reversed(nodes):
+            if node == ("seq", ()):
+                continue
+            key = node, id(rest)
+            cell = self._cells.get(key)
+            if cell is None:
+                cell = self._cells[key] = Cell(node, rest, self._nullable(node) and (rest is None or rest.nullable))
+            rest = cell
+        return rest
+
+    def _stack(self, cell, token) -> frozenset:
+        """The derivative of a stack."""
+        if cell is None:
+            return frozenset()
+        found = cell.memo.get(token)
+        if found is None:
+            out = {self._push(r, cell.rest) for r in self._node(cell.node, token)}
+            if self._nullable(cell.node):
+                out |= self._stack(cell.rest, token)
+            found = cell.memo[token] = frozenset(out)
+        return found
+
+    def _state(self, cells) -> State:
+        state = self._states.get(cells)
+        if state is None:
+            state = self._states[cells] = State(cells)
+        return state
+
+    def derive(self, state: State, token: str) -> State:
+        """The derivative of a language; the empty one is ``self.empty``."""
+        found = state.next.get(token)
+        if found is None:
+            found = state.next[token] = self._state(frozenset().union(*(self._stack(c, token) for c in state.cells)))
+        return found
+
+    def begin(self) -> State:
+        if len(self._states) > MOST_STATES:
+            self.reset()
+        return self.first
+
+    def failure(self, tokens: list[str]) -> int | None:
+        """Number of the failing token, the length where the text is truncated, None if it parses."""
+        state, empty = self.begin(), self.empty
+        for i, token in enumerate(tokens):
+            after = state.next.get(token) or self.derive(state, token)
+            if after is empty:
+                return i
+            state = after
+        return None if state.nullable else len(tokens)
