@@ -5,12 +5,20 @@ from __future__ import annotations
 import os
 
 from skein.common import table
-from skein.llm import bpe, broken, contamination, docpairs, langid, secrets
+from skein.llm import bpe, broken, contamination, docpairs, langid, provenance, secrets
 
 #: Where the vocabulary files of public tokenizers are.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
 
 
+def p1_found(spark, d):
+    return provenance.classify(table(spark, d, "files")).select("file_id")
+
+
+def p1_kinds(spark, d):
+    return provenance.classify(table(spark, d, "files"))
+
+
 def p2_found(spark, d):
     return docpairs.pairs(table(spark, d, "files")).select("file_id", "name", "line")
 
@@ -51,5 +59,5 @@ def p9_languages(spark, d):
     return langid.languages(table(spark, d, "documents")).drop("is_case")
 
 
-QUERIES = {"p9_found": p9_found, "p9_languages": p9_languages, "p8_found": p8_found, "p2_found": p2_found, "p2_pairs": p2_pairs, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
+QUERIES = {"p9_found": p9_found, "p9_languages": p9_languages, "p8_found": p8_found, "p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_pairs": p2_pairs, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p3_found": p3_found, "p3_redacted": p3_redacted}
 ORACLE: dict[str, str] = {}
