@@ -1,3 +1,3 @@
 """Registered queries: DataFrame plans and the SQL that checks them."""
 
-CORE_MODULES = ["skein.plans.corpus"]
+CORE_MODULES = ["skein.plans.corpus", "skein.plans.graph"]
