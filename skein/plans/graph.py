@@ -586,3 +586,52 @@ def _imports(g: Graph) -> DataFrame:
 @query("short_names", "select id, regexp_extract(regexp_replace(id, '^[^:]*:', ''), '([^.]*)$', 1) as short from e")
 def _(spark, d, g):
     return g.entities.select("id", short_name("id").alias("short"))
+
+
+# Markdown headings of documents
+
+
+@query(
+    "md_headings",
+    """with l as (select doc_id, trim(unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)))) as line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) as i from documents where text is not null),
+f as (select *, sum(case when starts_with(line, '```') then 1 else 0 end) over (partition by doc_id order by i) as marks from l),
+h as (select doc_id, i, trim(ltrim(line, '#')) as h from f where marks % 2 = 0 and starts_with(line, '#'))
+select doc_id, string_agg(h, '; ' order by i) as headings from h where h <> '' group by doc_id""",
+    base=False,
+)
+def _(spark, d):
+    """Headings outside fenced code, joined; one pass over a text's lines inside the JVM."""
+    lines = F.transform(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x))
+    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("found"))
+
+    def step(acc, line):
+        title = F.trim(F.regexp_replace(line, "^#+", ""))
+        fence = line.startswith("```")
+        taken = ~acc["fenced"] & ~fence & line.startswith("#") & (title != "")
+        return F.struct((acc["fenced"] != fence).alias("fenced"), F.when(taken, F.concat(acc["found"], F.array(title))).otherwise(acc["found"]).alias("found"))
+
+    told = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.aggregate(lines, start, step)["found"].alias("found"))
+    return told.filter("size(found) > 0").select("doc_id", F.array_join("found", "; ").alias("headings"))
+
+
+# Extraction from the delivered files
+
+
+def _scanned(spark, d):
+    """Entities of the delivered Go, YAML and Markdown files outside third-party trees."""
+    from skein.sources.scan import PRUNED, extract
+
+    files = latest(table(spark, d, "files"), "file_id")
+    inner = F.exists(F.split("path", "/"), lambda p: p.isin(*PRUNED))
+    rows = files.filter("content is not null").filter(~inner).select(F.concat_ws("/", "repo", F.regexp_replace("path", r"^\\./", "")).alias("path"), "content")
+    return extract(rows)
+
+
+@query("scan_entities", base=False)
+def _(spark, d):
+    return _scanned(spark, d).filter("id is not null").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("scan_warnings_found", base=False)
+def _(spark, d):
+    return _scanned(spark, d).filter("warning is not null").select("path", "warning")
