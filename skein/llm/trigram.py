@@ -8,7 +8,6 @@ answered by intersecting postings, and only the candidates are given to the expr
 
 from __future__ import annotations
 
-import re
 from re import _constants as sre  # the parser's node names
 from re import _parser
 
@@ -156,5 +155,3 @@ class Matcher:
         return out
 
 
-def flags_of(pattern: str) -> int:
-    return re.compile(pattern).flags
