@@ -10,11 +10,13 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein import schema
+from skein.common import cut
 from skein.operators import build, maintain, views
 from skein.sources import golang, text
 from skein.store import Graph, merged
@@ -25,6 +27,10 @@ FILES = "path string, size long, modified timestamp, content string"
 ROWS = T.StructType([T.StructField("path", T.StringType()), T.StructField("warning", T.StringType()), *schema.ENTITY.fields[1:]])
 
 
+_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(f.name, _KINDS[f.dataType.simpleString()]) for f in ROWS.fields])
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, modified) of a repository's files, dotfiles and all extensions included."""
     if not root or not os.path.isdir(root):
@@ -61,20 +67,20 @@ def extract(files: DataFrame) -> DataFrame:
     """Entity rows of files (path, content), in ``path`` order by ``ord``; a file that doesn't
     parse gives one row with a warning and no id. Null contents are read as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for path, content in zip(b["path"], b["content"]):
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 parser = parser_of(path)
                 if parser is None:
                     continue
                 try:
-                    rows += [{"path": path, "warning": None, **e} for e in parser(path, content or "")]
+                    rows += [{"path": path, **e} for e in parser(path, content.as_py() or "")]
                 except golang.Unparsable as e:
                     rows.append({"path": path, "warning": f"warning: failed to parse {path}: {e}"})
-            yield pd.DataFrame(rows, columns=ROWS.fieldNames())
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return files.select("path", "content").mapInPandas(run, ROWS)
+    return files.select("path", "content").mapInArrow(run, ROWS)
 
 
 def scan(files: DataFrame, old: Graph | None = None, stamps: DataFrame | None = None, commits: DataFrame | None = None) -> dict:
@@ -99,13 +105,16 @@ def scan(files: DataFrame, old: Graph | None = None, stamps: DataFrame | None =
     entities = merged(every, ["id"], ["ord"]).withColumn("local_id", F.col("id"))
     if commits is not None:
         entities = maintain.enrich(entities, maintain.history(commits))
-    edges = build.snippets(build.edges(entities), files)
+    entities = cut(entities)  # read by every edge and view
+    edges = build.snippets(cut(build.edges(entities)), files)
     edges = edges.withColumn("ord", F.row_number().over(_by_made()).cast("long")).drop("made_at")
+    edges = cut(edges)
     graph = Graph(entities, edges)
     failed = rows.filter("warning is not null").select("path")
+    seen = cut(views.compile_views(graph))
     return {
         "graph": graph, "warnings": rows.filter("warning is not null").select("path", "warning"), "stamps": now.join(failed, "path", "left_anti"),
-        "problems": maintain.validate(graph), "views": views.compile_views(graph), "questions": views.questions(views.compile_views(graph)),
+        "problems": maintain.validate(graph), "views": seen, "questions": views.questions(seen),
     }
 
 
