@@ -32,7 +32,7 @@ def lex(text: str) -> Tokens:
             out.ends.append(nul + 1)
         out.text = text
         return out
-    pos, n, depth, indents, fresh = 1 if text.startswith("﻿") else 0, len(text), 0, [0], True
+    pos, n, depth, indents, fresh = 1 if text.startswith("﻿") else 0, len(text), 0, [(0, 0)], True
 
     def add(kind, a, b):
         kinds.append(kind)
@@ -46,16 +46,17 @@ def lex(text: str) -> Tokens:
             if at >= n:
                 break
             if text[at] not in "\r\n#":
-                width = 0
+                width = short = 0  # with tabs of eight columns and of one; both must tell the same
                 for c in m[0]:
                     width = (width // 8 + 1) * 8 if c == "\t" else 0 if c == "\f" else width + 1
-                if width > indents[-1]:
-                    indents.append(width)
+                    short = 0 if c == "\f" else short + 1
+                if width > indents[-1][0] and short > indents[-1][1]:
+                    indents.append((width, short))
                     add("INDENT", at, at)
-                while width < indents[-1]:
+                while width < indents[-1][0]:
                     indents.pop()
                     add("DEDENT", at, at)
-                if width != indents[-1]:
+                if (width, short) != indents[-1]:
                     add("BAD", at, at + 1)
                     return out
                 fresh = False

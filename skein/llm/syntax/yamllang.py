@@ -13,10 +13,10 @@ Stream = (Block DOCEND*)? (DIRECTIVE* DOCSTART Block? DOCEND*)* ;
 Block = ALIAS | Props Content? | Content ;
 Open = ALIAS | Props (Content | Entries)? | Content | Entries ;
 Props = TAG ANCHOR? | ANCHOR TAG? ;
-Content = BSEQ ('-' Block?)* BEND | BMAP (KEY Open? (':' Open?)? | ':' Open?)* BEND | Flow | SCALAR ;
+Content = BSEQ ('-' Block?)* BEND | BMAP (KEY Open? (':' Open?)?)* BEND | Flow | SCALAR ;
 Entries = ('-' Block?)+ ;
 Flow = '[' (Entry % ',' ','?)? ']' | '{' (Entry % ',' ','?)? '}' ;
-Entry = Node | KEY Node? (':' Node?)? | ':' Node? ;
+Entry = Node | KEY Node? (':' Node?)? ;
 Node = ALIAS | Props (Flow | SCALAR)? | Flow | SCALAR ;
 """,
     "Stream",
@@ -82,7 +82,7 @@ class _Scanner:
                 self.line_start = self.pos
                 if not self.flow:
                     self.key_allowed = True
-            elif c == "#" and (self.pos == 0 or t[self.pos - 1] in " \t\n\r\ufeff"):
+            elif c == "#":
                 end = t.find("\n", self.pos)
                 end = self.n if end < 0 else end
                 self.out.comments.append((self.pos, end))
