@@ -262,7 +262,7 @@ def _uncommented(doc: str) -> Iterator[tuple[str, bool]]:
 def words(lines: list[str], name: str) -> list[str]:
     """Words of prose, without the function's own name; of scripts without spaces, the signs."""
     own = {name.lower(), name.lower() + "s"}
-    text = re.sub(r"[`'\"]?\b[\w.]*\b" + re.escape(name) + r"\b(?:\(\))?[`'\"]?", " ", " ".join(lines)) if name else " ".join(lines)
+    text = re.sub(r"(?<![\w.])(?:\w{1,60}\.){0,3}" + re.escape(name) + r"\b(?:\(\))?", " ", " ".join(lines)) if name else " ".join(lines)
     wide = _WIDE.findall(text)
     return [w for w in _WORD.findall(_WIDE.sub(" ", text)) if w.lower() not in own] + wide
 

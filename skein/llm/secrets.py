@@ -41,12 +41,12 @@ RULES: dict[str, tuple[str, str]] = {
     "stripe": (rf"(?<![A-Za-z0-9])(?P<v>[sr]k_live_(?:[A-Za-z0-9]{_JOIN}){{16,}})(?![A-Za-z0-9])", "both"),
     "pat": (rf"(?<![A-Za-z0-9])(?P<v>[a-z]{{2,8}}_pat_(?:[A-Za-z0-9]{_JOIN}){{16,}})(?![A-Za-z0-9])", "both"),
     "jwt": (rf"(?<![A-Za-z0-9])(?P<v>eyJ(?:[A-Za-z0-9_-]{_JOIN}){{8,}}\.(?:[A-Za-z0-9_-]{_JOIN}){{8,}}\.(?:[A-Za-z0-9_-]{_JOIN}){{8,}})", "both"),
-    "url_login": (r"[a-z][a-z0-9+.-]*://[^/\s:@\"']*:(?P<v>[^@\s/\"']+)@", "both"),
+    "url_login": (r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,40}://[^/\s:@\"']*:(?P<v>[^@\s/\"']+)@", "both"),
     "url_param": (r"[?&](?:access_token|auth_token|token|api_?key|sig|signature|secret|password)=(?P<v>[^&\s\"'#]+)", "both"),
     "bearer": (r"\bbearer\s+(?P<v>[A-Za-z0-9._~+/=-]{12,})", "both"),
     "basic": (r"\bbasic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])", "both"),
-    "named": (rf"(?:^|[^A-Za-z0-9]|(?<=[a-z0-9]))[A-Za-z0-9_.-]*{_NAME}[\"']?\s*(?::=|=>|==?|:)\s*(?:[\"'](?P<v>[^\"']*)[\"']|(?P<w>[^\s\"',;&<>(){{}}]+)(?![^\s\"',;&]*\())", "values"),
-    "assigned": (rf"[A-Za-z0-9_.-]*{_NAME}[\"'\])]*\s*(?::=|=>|==?|:)\s*(?P<q>[\"'`])(?P<v>[^\"'`]+)(?P=q)", "code"),
+    "named": (rf"{_NAME}[\"']?\s*(?::=|=>|==?|:)\s*(?:[\"'](?P<v>[^\"']*)[\"']|(?P<w>[^\s\"',;&<>(){{}}]++)(?![^\s\"',;&]*\())", "values"),
+    "assigned": (rf"{_NAME}[\"'\])]{{0,3}}\s*(?::=|=>|==?|:)\s*(?P<q>[\"'`])(?P<v>[^\"'`]+)(?P=q)", "code"),
     "login_call": (r"(?:login|basicauth|authenticate|credentials?)\w*\(\s*[\"'][^\"']*[\"']\s*,\s*[\"'](?P<v>[^\"']+)[\"']", "both"),
     "setenv": (rf"setenv\(\s*[\"'][A-Za-z0-9_]*{_NAME}[\"']\s*,\s*[\"'](?P<v>[^\"']+)[\"']", "both"),
     "env_value": (r"\.env\.\d+\.value=(?P<v>.+)", "values"),

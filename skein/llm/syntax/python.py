@@ -96,11 +96,12 @@ GRAMMAR = Grammar(
 File = Stmt* ;
 Stmt = Line | Compound ;
 Line = Small % ';' ';'? NEWLINE ;
-Small = Assignment | 'del' Star | 'pass' | 'break' | 'continue' | 'return' Star? | 'raise' (Test ('from' Test)?)? | ('global' | 'nonlocal') Name % ',' | 'import' Dotted % ',' | From | 'assert' Test (',' Test)? | 'type' Name TypeParams? '=' Test ;
+Small = Assignment | 'del' Plain | 'pass' | 'break' | 'continue' | 'return' Plain? | 'raise' (Test ('from' Test)?)? | ('global' | 'nonlocal') Name % ',' | 'import' Dotted % ',' | From | 'assert' Test (',' Test)? | 'type' Name TypeParams? '=' Test ;
 Name = NAME | 'match' | 'case' | 'type' ;
-Assignment = Star (':' Test ('=' Value)? | AugOp Value | ('=' Value)*) | Yield ;
-Value = Star | Yield ;
-Yield = 'yield' ('from' Test | Star)? ;
+Assignment = Plain (':' Test ('=' Value)? | AugOp Value | ('=' Value)*) | Yield ;
+Value = Plain | Yield ;
+Plain = ('*' Or5 | Test) % ',' ','? ;
+Yield = 'yield' ('from' Test | Plain)? ;
 AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**=' ;
 Path = Name ('.' Name)* ;
 Dotted = Path ('as' Name)? ;
@@ -110,7 +111,7 @@ Compound = If | 'while' Named ':' Suite Else? | For | Try | With | Def | Class |
 Suite = Line | NEWLINE INDENT Stmt+ DEDENT ;
 Else = 'else' ':' Suite ;
 If = 'if' Named ':' Suite ('elif' Named ':' Suite)* Else? ;
-For = 'for' Star 'in' Star ':' Suite Else? ;
+For = 'for' Plain 'in' Plain ':' Suite Else? ;
 Try = 'try' ':' Suite (('except' '*'? (Test (',' Test)* ('as' Name)?)? ':' Suite)+ Else? ('finally' ':' Suite)? | 'finally' ':' Suite) ;
 With = 'with' (WithItem % ',' | '(' WithItem % ',' ','? ')') ':' Suite ;
 WithItem = Test ('as' StarItem)? ;
