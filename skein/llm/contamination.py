@@ -58,7 +58,7 @@ def words_of(text: str | None) -> list[str]:
 def bodies(items: list[tuple[int, str | None]]) -> dict[tuple[str, ...], list[int]]:
     """Items by their words, without the instructions that open several items.
 
-    Items without words are left out. Items of the same words are one, with all their ids.
+    Items without words, or with nothing but such an instruction, are left out. Items of the same words are one, with all their ids.
     """
     lists = {i: words_of(t) for i, t in items}
     rests: dict[tuple, set] = defaultdict(set)
@@ -68,7 +68,7 @@ def bodies(items: list[tuple[int, str | None]]) -> dict[tuple[str, ...], list[in
                 rests[w[:k]].add(w[k:])
     out = defaultdict(list)
     for i, w in lists.items():
-        k = next((k for k in range(min(len(w) - 1, 59), 3, -1) if len(rests[tuple(w[:k])]) >= SHARED), 0)
+        k = next((k for k in range(min(len(w), 59), 3, -1) if len(rests[tuple(w[:k])]) >= SHARED), 0)
         if w[k:]:
             out[tuple(w[k:])].append(i)
     return dict(out)
