@@ -54,10 +54,7 @@ def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     before the shuffle. A null key is a key like any other.
     """
     rest = [c for c in df.columns if c != key]
-    order = F.struct(F.col(by).alias("_by"), *[F.col(c) for c in rest if c != by and _sortable(df, c)])
+    order = F.struct(by, F.xxhash64(*[c for c in rest if c != by]).alias("_h"))  # of equally late rows always the same
     best = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return best.select(key, *[F.col("_row")[c].alias(c) for c in rest])
 
-
-def _sortable(df: DataFrame, name: str) -> bool:
-    return not df.schema[name].dataType.simpleString().startswith(("map", "array<map", "variant"))
