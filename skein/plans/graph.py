@@ -272,11 +272,25 @@ def _(spark, d, g):
     return whole.filter(F.lit(whole.count() < 50)).select("id", F.col("level").cast("long").alias("level"))
 
 
+# The same over every root, capped chains included: which callers a capped chain keeps depends
+# on the order of the walk, so these have no SQL; the queries above are the part SQL can check.
+
+
+@query("impact_whole_chain")
+def _(spark, d, g):
+    whole = traverse.impact(g, g.entities.filter(F.col("id") == _root(spark, d)))
+    return whole.select("id", F.col("level").cast("long").alias("level"), F.col("pos").cast("long").alias("pos"))
+
+
 def _impact_part(name: str, sql: str, cols: list[str]):
     @query(f"impact_{name}", _UP + sql, recursive=True)
     def _(spark, d, g):
         return traverse.impact_parts(g, _all_chains(spark, d)[1])[name].select(*cols)
 
+    @query(f"impact_whole_{name}")
+    def _(spark, d, g):
+        return traverse.impact_parts(g, _all_chains(spark, d)[0])[name].select(*cols)
+
 
 _impact_part("controllers", "select p.root, e.id, e.name from part p join e using (id) where e.kind = 'controller'", ["root", "id", "name"])
 _impact_part("files", "select distinct p.root, e.source_file from part p join e using (id) where e.source_file <> ''", ["root", "source_file"])

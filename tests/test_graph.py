@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein import schema
 from skein.operators import build, lookup, maintain, review, traverse, views
+from skein.plans import graph as plans
 from skein.store import Graph, merged, normalise
 
 
@@ -132,6 +133,34 @@ def test_impact_against_sequential_walk(spark):
     assert max(sizes) >= 50
 
 
+def test_impact_queries_over_capped_roots(spark, monkeypatch):
+    """Every part of every root's chain, of those with 50 or more callers too."""
+    hub, far = [f"function:p.f{i:02}" for i in range(70)], "function:q.far"
+    callers = {"function:p.hub": hub, "function:p.small": [far]}
+    ents = [ent(n, source_file=f"{n[-3:]}.go", last_author=f"{n[-1]}@x", last_modified="2024") for n in [*hub, far, *callers]] + [ent("controller:c.A"), ent("test:p.T"), ent("crd:g.c")]
+    edges = [(a, "calls", b) for b, some in callers.items() for a in some] + [(n, t, o) for n in (hub[3], far) for t, o in (("tested_by", "test:p.T"), ("creates", "crd:g.c"))]
+    edges = [("controller:c.A", "calls", "function:p.hub"), *edges]
+    callers["function:p.hub"] = ["controller:c.A", *hub]
+    g = graph(spark, ents, edges)
+    monkeypatch.setattr(plans, "_graph", lambda spark, d: g)
+    for known in (plans._root, plans._all_chains):
+        known.cache_clear()
+    try:
+        got = {n: {tuple(r) for r in plans.QUERIES[f"impact_whole_{n}"](spark, "").collect()} for n in ("chain", "controllers", "files", "owners", "recent", "tests", "resources")}
+    finally:
+        for known in (plans._root, plans._all_chains):
+            known.cache_clear()
+    chains = {root: walk(callers, root) for root in callers}
+    of = {e["id"]: e for e in ents}
+    assert len(chains["function:p.hub"]) == 50
+    assert [i for _, i in sorted((pos, i) for i, _, pos in got["chain"])] == chains["function:p.hub"]
+    for name, field in (("files", "source_file"), ("owners", "last_author")):
+        assert got[name] == {(r, of[i].get(field) or "f.go") for r, c in chains.items() for i in c if of[i].get(field) or name == "files"}, name
+    assert got["recent"] == {(r, i, "2024") for r, c in chains.items() for i in c if i.startswith("function")}
+    assert got["controllers"] == {("function:p.hub", "controller:c.A", "A")}
+    assert got["tests"] == {(r, "test:p.T", "T") for r in chains} and got["resources"] == {(r, "crd:g.c", "c") for r in chains}
+
+
 def test_call_resolution(small):
     got = {(r["src"], r["call"]): (r["dst"], r["how"]) for r in build.resolve_calls(small.entities).collect()}
     assert got == {
