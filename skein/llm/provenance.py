@@ -279,12 +279,5 @@ def classify(files: DataFrame) -> DataFrame:
     blocks = placed.join(texts, "one").select("whole", "low", "high", "language", "content", "print", "part")
     found = blocks.groupBy("print", "part").applyInPandas(_joint, "whole long, share double")
     copies = found.groupBy("whole").agg(F.max("share").alias("share")).filter(F.col("share") >= COPIED).select("whole")
-    # a directory named as a package of some third-party tree, elsewhere
-    third = "|".join(sorted(_THIRD))
-    parts = rows.select("file_id", F.lower("path").alias("path"))
-    names = parts.select(F.regexp_extract("path", rf"(?:^|/)(?:{third})/([^/]+)/", 1).alias("part")).filter("part <> ''").distinct()
-    inside = parts.select("file_id", F.explode(F.array_distinct(F.expr("slice(split(path, '/'), 1, size(split(path, '/')) - 1)"))).alias("part"))
-    named = inside.join(names, "part", "left_semi").join(open_.filter("kind is null").select("file_id"), "file_id", "left_semi")
-    named = named.select("file_id", F.lit("vendored").alias("kind")).distinct()
     other = open_.filter("kind is null").select("file_id", "whole").join(copies, "whole").select("file_id", F.lit("vendored").alias("kind"))
-    return own.unionByName(other).unionByName(named).groupBy("file_id").agg(F.min("kind").alias("kind"))
+    return own.unionByName(other).groupBy("file_id").agg(F.min("kind").alias("kind"))

@@ -240,6 +240,16 @@ def test_provenance(spark):
     assert provenance.classify(df.limit(0)).count() == 0
 
 
+def found(spark, files):
+    df = spark.createDataFrame(files, "file_id long, repo string, path string, content string")
+    return {r["file_id"]: r["kind"] for r in provenance.classify(df).collect()}
+
+
+def test_names_of_third_party_folders_decide_nothing_elsewhere(spark):
+    files = [(1, "r1", "external/config/x/a.go", hand(6, 31)), (2, "r1", "config/b.go", hand(6, 32)), (3, "r2", "pkg/config/c.go", hand(6, 33))]
+    assert found(spark, files) == {1: "vendored"}
+
+
 def test_trigrams():
     assert trigram.required("(?:abc|xyzw)d+") == ("and", [("or", ["abc", "xyzw"]), None]) or trigram.required("(?:abc|xyzw)d+") == ("or", ["abc", "xyzw"])
     assert trigram.required("a.*b") is None and trigram.required(r"gh[op]_\w{30,}") == ("or", ["gho_", "ghp_"])
