@@ -197,8 +197,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["file_id", "repo", "kind", "prints", "whole"])
 
 
-def copied(sequences: list[list[int]], repos: list[set[str]]) -> list[float]:
-    """Share of each sequence under rules of a joint grammar that are long and stand in
+def copied(sequences: list[list[int]], repos: list[set[str]]) -> list[list[tuple[int, int]]]:
+    """Spans of each sequence under rules of a joint grammar that are long and stand in
     sequences of several repositories. A sequence of several repositories is a copy itself."""
     words: dict[int, int] = {}
     joint, owners = [], []
@@ -229,26 +229,56 @@ def copied(sequences: list[list[int]], repos: list[set[str]]) -> list[float]:
                 stack += g.rules[s]
     out = []
     for symbols, n, names in zip(parts, owners, repos):
-        covered, stack = 0, list(symbols)
+        if len(names) > 1:
+            out.append([(0, n)])
+            continue
+        spans, at, stack = [], 0, symbols[::-1]
         while stack:
             s = stack.pop()
-            if s in g.rules:
-                if g.lengths[s] >= min(LONG, n) and len(stands[s]) > 1:
-                    covered += g.lengths[s]
-                elif g.lengths[s] > LONG:
-                    stack += g.rules[s]
-        out.append(1.0 if len(names) > 1 else covered / max(1, n))
+            if s in g.rules and g.lengths[s] > LONG and len(stands[s]) == 1:
+                stack += g.rules[s][::-1]
+                continue
+            size = g.lengths.get(s, 1)
+            if s in g.rules and size >= min(LONG, n) and len(stands[s]) > 1:
+                if spans and spans[-1][1] == at:
+                    at, size = spans[-1][0], size + at - spans.pop()[0]
+                spans.append((at, at + size))
+            at += size
+        out.append(spans)
     return out
 
 
+def _lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        exact = [_exact(_LEX[g](t.as_py())).view(np.int64) for g, t in zip(batch.column(1).to_pylist(), batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact, pa.list_(pa.int64()))], names=["whole", "exact"])
+
+
 def _joint(rows: pd.DataFrame) -> pd.DataFrame:
     # one sequence for each content; copies within a block count by their repositories
-    rows = rows.sort_values("whole", kind="stable")
-    sequences, repos = [], []
-    for language, text, low, high in zip(rows["language"], rows["content"], rows["low"], rows["high"]):
-        sequences.append(_exact(_LEX[language](text)).tolist())
-        repos.append({low, high})
-    return pd.DataFrame({"whole": rows["whole"].to_numpy(), "share": copied(sequences, repos)})
+    rows = rows.drop_duplicates("whole").sort_values("whole", kind="stable")
+    sequences = [x.tolist() for x in rows["exact"]]
+    spans = copied(sequences, [{low, high} for low, high in zip(rows["low"], rows["high"])])
+    out = [(w, len(x), *span) for w, x, some in zip(rows["whole"], sequences, spans) for span in some]
+    return pd.DataFrame(out, columns=["whole", "n", "start", "stop"])
+
+
+def blocks_of(placed: DataFrame) -> DataFrame:
+    """(block, whole): the contents that get one joint grammar. ``placed``: whole, low, high, print.
+
+    A block holds the contents of a print. Those of many contents are spread by their hash,
+    and every part also gets the contents of the least and of the greatest repository, so
+    what stands in another repository does so in each part. Equal blocks are one.
+    """
+    sizes = placed.groupBy("print").agg(F.count("*").alias("n"), F.min(F.struct("low", "whole"))["whole"].alias("first"), F.max(F.struct("high", "whole"))["whole"].alias("last"))
+    spread = placed.select("whole", "print").join(sizes, "print").withColumn("part", F.expr(f"pmod(xxhash64(whole), cast(ceil(n / {BLOCK}) as int))"))
+    parts = spread.groupBy("print", "part").agg(F.collect_set("whole").alias("inside"), F.first("first").alias("first"), F.first("last").alias("last"))
+    members = parts.select(F.array_sort(F.array_union("inside", F.array("first", "last"))).alias("members")).distinct()
+    return members.select(F.xxhash64("members").alias("block"), F.explode("members").alias("whole"))
+
+
+#: Length of the union of spans sorted by their start.
+_UNION = "aggregate(array_sort(spans), named_struct('sum', 0L, 'end', 0L), (a, x) -> named_struct('sum', a.sum + greatest(0L, x.stop - greatest(x.start, a.end)), 'end', greatest(a.end, x.stop)), a -> a.sum)"
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -268,16 +298,16 @@ def classify(files: DataFrame) -> DataFrame:
     contents = cut(contents)
     prints = contents.select("whole", "low", "high", F.explode("prints").alias("print"))
     shared = prints.groupBy("print").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("print")
-    # a content joins the others at its least and its greatest shared run
+    # a content joins the others at its least and its greatest shared run; what the blocks cover is put together
     ends = prints.join(shared, "print").groupBy("whole").agg(F.min("print").alias("p"), F.max("print").alias("q"))
-    placed = contents.select("whole", "low", "high", "one").join(ends, "whole")
-    placed = placed.select("whole", "low", "high", "one", F.explode(F.array_distinct(F.array("p", "q"))).alias("print"))
-    # blocks of bounded size: contents of many copies are spread by their hash
-    sizes = placed.groupBy("print").count()
-    placed = placed.join(sizes, "print").withColumn("part", F.expr(f"pmod(xxhash64(whole), cast(ceil(count / {BLOCK}) as int))"))
+    ends = ends.select("whole", F.explode(F.array_distinct(F.array("p", "q"))).alias("print"))
+    placed = cut(contents.select("whole", "low", "high").join(ends, "whole"))
+    blocks = cut(blocks_of(placed))
+    one = contents.join(blocks.select("whole").distinct(), "whole", "left_semi").select("whole", "low", "high", "one")
     texts = rows.select(F.col("file_id").alias("one"), "language", "content").dropDuplicates(["one"])
-    blocks = placed.join(texts, "one").select("whole", "low", "high", "language", "content", "print", "part")
-    found = blocks.groupBy("print", "part").applyInPandas(_joint, "whole long, share double")
-    copies = found.groupBy("whole").agg(F.max("share").alias("share")).filter(F.col("share") >= COPIED).select("whole")
+    exact = cut(one.join(texts, "one").select("whole", "language", "content").mapInArrow(_lexed, "whole long, exact array<long>"))
+    spans = blocks.join(one.drop("one"), "whole").join(exact, "whole").groupBy("block").applyInPandas(_joint, "whole long, n long, start long, stop long")
+    share = spans.groupBy("whole").agg(F.max("n").alias("n"), F.collect_set(F.struct("start", "stop")).alias("spans"))
+    copies = share.filter(F.expr(_UNION) >= COPIED * F.col("n")).select("whole")
     other = open_.filter("kind is null").select("file_id", "whole").join(copies, "whole").select("file_id", F.lit("vendored").alias("kind"))
     return own.unionByName(other).groupBy("file_id").agg(F.min("kind").alias("kind"))

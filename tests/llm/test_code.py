@@ -250,6 +250,13 @@ def test_names_of_third_party_folders_decide_nothing_elsewhere(spark):
     assert found(spark, files) == {1: "vendored"}
 
 
+def test_copies_in_a_block_that_was_split(spark):
+    lib = hand(6, 41)
+    files = [(i, "hot", f"a/f{i}.go", lib + "".join(hand(2, 500 + i).partition(")\n")[2:])) for i in range(150)]
+    files += [(900, "r2", "b.go", lib + "\nvar x = 1\n"), (901, "r3", "c.go", hand(6, 42))]
+    assert found(spark, files) == {i: "vendored" for i in (*range(150), 900)}
+
+
 def test_trigrams():
     assert trigram.required("(?:abc|xyzw)d+") == ("and", [("or", ["abc", "xyzw"]), None]) or trigram.required("(?:abc|xyzw)d+") == ("or", ["abc", "xyzw"])
     assert trigram.required("a.*b") is None and trigram.required(r"gh[op]_\w{30,}") == ("or", ["gho_", "ghp_"])
