@@ -298,10 +298,8 @@ def classify(files: DataFrame) -> DataFrame:
     contents = cut(contents)
     prints = contents.select("whole", "low", "high", F.explode("prints").alias("print"))
     shared = prints.groupBy("print").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("print")
-    # a content joins the others at its least and its greatest shared run; what the blocks cover is put together
-    ends = prints.join(shared, "print").groupBy("whole").agg(F.min("print").alias("p"), F.max("print").alias("q"))
-    ends = ends.select("whole", F.explode(F.array_distinct(F.array("p", "q"))).alias("print"))
-    placed = cut(contents.select("whole", "low", "high").join(ends, "whole"))
+    # a content joins the others at every shared run; what the blocks cover is put together
+    placed = cut(prints.join(shared, "print"))
     blocks = cut(blocks_of(placed))
     one = contents.join(blocks.select("whole").distinct(), "whole", "left_semi").select("whole", "low", "high", "one")
     texts = rows.select(F.col("file_id").alias("one"), "language", "content").dropDuplicates(["one"])

@@ -257,6 +257,21 @@ def test_copies_in_a_block_that_was_split(spark):
     assert found(spark, files) == {i: "vendored" for i in (*range(150), 900)}
 
 
+def test_copies_whose_extreme_runs_are_shared_with_others(spark):
+    """The least and the greatest shared run of each copy stand in other files than its original."""
+    tail = lambda seed: hand(3, seed).partition(")\n")[2]
+    prints = lambda text: provenance.fingerprints(provenance._exact(golang.lex(text)))
+    tails = sorted(range(1000, 1120), key=lambda k: prints(tail(k)).min())
+    least, greatest = tails[:3], sorted(tails, key=lambda k: prints(tail(k)).max())[-3:]
+    files, copies = [], set()
+    for i in range(3):
+        lib = hand(9, 60 + i)
+        files += [(10 * i, "r1", f"a/l{i}.go", lib + tail(2000 + i)), (10 * i + 1, "r2", f"b/c{i}.go", lib + tail(least[i]) + tail(greatest[i]))]
+        files += [(10 * i + 2, "r3", f"h/l{i}.go", hand(12, 80 + i) + tail(least[i])), (10 * i + 3, "r4", f"h/g{i}.go", hand(12, 90 + i) + tail(greatest[i]))]
+        copies |= {10 * i, 10 * i + 1}
+    assert set(found(spark, files)) == copies
+
+
 def test_trigrams():
     assert trigram.required("(?:abc|xyzw)d+") == ("and", [("or", ["abc", "xyzw"]), None]) or trigram.required("(?:abc|xyzw)d+") == ("or", ["abc", "xyzw"])
     assert trigram.required("a.*b") is None and trigram.required(r"gh[op]_\w{30,}") == ("or", ["gho_", "ghp_"])
