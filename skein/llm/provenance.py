@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.common import cut
@@ -39,6 +39,9 @@ DATA_SHARE, DATA_BITS, DATA_LEAST = 0.55, 0.86, 150
 #: Copies: tokens of a shared run, of a rule that counts, share of the file under such rules.
 RUN, WINNOW, LONG, COPIED = 48, 12, 40, 0.5
 SMALLEST_COPY = 22
+#: Files too short for such runs: tokens of their runs, part (one in so many) of the runs a
+#: candidate has, share of the file. Half a short file may be idioms, so nearly all must be there.
+SHORT, SHORT_WINNOW, SHORT_SHARED, SHORT_COPIED = 8, 4, 3, 0.8
 #: Files that share one joint grammar.
 BLOCK = 48
 
@@ -164,40 +167,47 @@ def fingerprints(exact: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     if n <= RUN + WINNOW:
         return np.array([xxhash.xxh64_intdigest(exact.tobytes())], np.uint64).view(np.int64)
+    return _winnowed(exact, RUN, WINNOW)
+
+
+def _winnowed(exact: np.ndarray, run: int, window: int) -> np.ndarray:
     base = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        powers = np.ones(RUN, np.uint64)
-        for i in range(1, RUN):
+        powers = np.ones(run, np.uint64)
+        for i in range(1, run):
             powers[i] = powers[i - 1] * base
-        runs = np.lib.stride_tricks.sliding_window_view(exact, RUN)
+        runs = np.lib.stride_tricks.sliding_window_view(exact, run)
         h = (runs * powers).sum(axis=1, dtype=np.uint64)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    least = np.lib.stride_tricks.sliding_window_view(h, WINNOW).argmin(axis=1) + np.arange(len(h) - WINNOW + 1)
+    least = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
     return np.unique(h[least]).view(np.int64)
 
 
-_FIRST = "file_id long, repo string, kind string, prints array<long>, whole long"
+_FIRST = "file_id long, repo string, kind string, prints array<long>, whole long, short array<long>, size long"
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = ([], [], [], [], [])
+        out = ([], [], [], [], [], [], [])
         for key, repo, path, language, content in zip(*(batch.column(i) for i in range(5))):
             language, text = language.as_py(), content.as_py()
             kind, tokens = verdict(language, path.as_py() or "", text)
-            prints, whole = np.empty(0, np.int64), 0
+            prints, whole, short, size = np.empty(0, np.int64), 0, np.empty(0, np.int64), 0
             if kind in (None, "vendored") and language in ("go", "python", "javascript") and "BAD" not in tokens.kinds and text.lstrip()[:1] != "<":
                 exact = _exact(tokens)
                 prints, whole = fingerprints(exact), xxhash.xxh64_intdigest(exact.tobytes()) - (1 << 63)
+                size = len(exact)
+                if size >= SMALLEST_COPY:
+                    short = _winnowed(exact, SHORT, SHORT_WINNOW)
             # what is known as third-party code counts as another repository
             owner = ("\x01" if kind else "") + (repo.as_py() or "")
-            for column, x in zip(out, (key.as_py(), owner, kind, prints, whole)):
+            for column, x in zip(out, (key.as_py(), owner, kind, prints, whole, short, size)):
                 column.append(x)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["file_id", "repo", "kind", "prints", "whole"])
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["file_id", "repo", "kind", "prints", "whole", "short", "size"])
 
 
-def copied(sequences: list[list[int]], repos: list[set[str]]) -> list[list[tuple[int, int]]]:
+def copied(sequences: list[list[int]], repos: list[set[str]], long: int = LONG) -> list[list[tuple[int, int]]]:
     """Spans of each sequence under rules of a joint grammar that are long and stand in
     sequences of several repositories. A sequence of several repositories is a copy itself."""
     words: dict[int, int] = {}
@@ -235,11 +245,11 @@ def copied(sequences: list[list[int]], repos: list[set[str]]) -> list[list[tuple
         spans, at, stack = [], 0, symbols[::-1]
         while stack:
             s = stack.pop()
-            if s in g.rules and g.lengths[s] > LONG and len(stands[s]) == 1:
+            if s in g.rules and g.lengths[s] > long and len(stands[s]) == 1:
                 stack += g.rules[s][::-1]
                 continue
             size = g.lengths.get(s, 1)
-            if s in g.rules and size >= min(LONG, n) and len(stands[s]) > 1:
+            if s in g.rules and size >= min(long, n) and len(stands[s]) > 1:
                 if spans and spans[-1][1] == at:
                     at, size = spans[-1][0], size + at - spans.pop()[0]
                 spans.append((at, at + size))
@@ -263,6 +273,36 @@ def _joint(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["whole", "n", "start", "stop"])
 
 
+def _beside(rows: pd.DataFrame) -> pd.DataFrame:
+    # a short content beside each of its candidates: one source must hold it, not idioms of many
+    itself = rows["other"] == rows["whole"]
+    own = rows["exact"][itself].iloc[0].tolist()
+    for other in rows["exact"][~itself]:
+        spans = copied([own, other.tolist()], [{"a"}, {"b"}], SHORT)[0]
+        if sum(b - a for a, b in spans) >= SHORT_COPIED * len(own):
+            return rows.loc[itself, ["whole"]].head(1)
+    return rows.loc[[], ["whole"]]
+
+
+def candidates(contents: DataFrame) -> DataFrame:
+    """(whole, other): short contents of one repository and the contents known as third-party
+    code that have at least a third of their short runs.
+
+    Short hand-written files of two repositories are often alike, so likeness alone is no
+    evidence for them; to what is third-party code by its folder or header it is. Whoever has a third of k runs has one of the k - ceil(k / 3) + 1 rarest; only these are
+    joined.
+    """
+    runs = contents.filter(F.col("low").startswith("\x01")).select(F.col("whole").alias("other"), F.explode("short").alias("print"))
+    mine = contents.filter(f"size <= {RUN + WINNOW} and low = high").filter(~F.col("low").startswith("\x01")).select("whole", F.size("short").alias("k"), F.explode("short").alias("print"))
+    runs = cut(runs.join(mine.select("print").distinct(), "print", "left_semi"))
+    counts = runs.groupBy("print").count()
+    rare = Window.partitionBy("whole").orderBy("count", "print")
+    first = mine.join(counts, "print").withColumn("i", F.row_number().over(rare)).filter(f"i <= k - ceil(k / {SHORT_SHARED}) + 1")
+    pairs = first.join(runs, "print").select("whole", "other").distinct()
+    both = pairs.join(contents.select("whole", "short"), "whole").join(contents.select(F.col("whole").alias("other"), F.col("short").alias("theirs")), "other")
+    return both.filter(f"{SHORT_SHARED} * size(array_intersect(short, theirs)) >= size(short)").select("whole", "other")
+
+
 def blocks_of(placed: DataFrame) -> DataFrame:
     """(block, whole): the contents that get one joint grammar. ``placed``: whole, low, high, print.
 
@@ -294,18 +334,22 @@ def classify(files: DataFrame) -> DataFrame:
 
     # one row a content, with two of its repositories
     open_ = judged.filter("size(prints) > 0")
-    contents = open_.groupBy("whole").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.min("file_id").alias("one"), F.first("prints").alias("prints"))
+    contents = open_.groupBy("whole").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.min("file_id").alias("one"), F.first("prints").alias("prints"), F.first("short").alias("short"), F.first("size").alias("size"))
     contents = cut(contents)
     prints = contents.select("whole", "low", "high", F.explode("prints").alias("print"))
     shared = prints.groupBy("print").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("print")
     # a content joins the others at every shared run; what the blocks cover is put together
     placed = cut(prints.join(shared, "print"))
     blocks = cut(blocks_of(placed))
-    one = contents.join(blocks.select("whole").distinct(), "whole", "left_semi").select("whole", "low", "high", "one")
+    pairs = cut(candidates(contents))
+    near = pairs.unionByName(pairs.select("whole", F.col("whole").alias("other")).distinct())
+    one = contents.join(blocks.select("whole").unionAll(near.select("other")).distinct(), "whole", "left_semi").select("whole", "low", "high", "one")
     texts = rows.select(F.col("file_id").alias("one"), "language", "content").dropDuplicates(["one"])
     exact = cut(one.join(texts, "one").select("whole", "language", "content").mapInArrow(_lexed, "whole long, exact array<long>"))
     spans = blocks.join(one.drop("one"), "whole").join(exact, "whole").groupBy("block").applyInPandas(_joint, "whole long, n long, start long, stop long")
     share = spans.groupBy("whole").agg(F.max("n").alias("n"), F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = share.filter(F.expr(_UNION) >= COPIED * F.col("n")).select("whole")
+    beside = near.join(exact.withColumnRenamed("whole", "other"), "other").groupBy("whole").applyInPandas(_beside, "whole long")
+    copies = copies.unionByName(beside).distinct()
     other = open_.filter("kind is null").select("file_id", "whole").join(copies, "whole").select("file_id", F.lit("vendored").alias("kind"))
     return own.unionByName(other).groupBy("file_id").agg(F.min("kind").alias("kind"))

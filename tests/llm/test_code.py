@@ -272,6 +272,19 @@ def test_copies_whose_extreme_runs_are_shared_with_others(spark):
     assert set(found(spark, files)) == copies
 
 
+def test_short_copies_patched_or_embedded(spark):
+    def tiny(seed):
+        r = random.Random(seed)
+        w = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(12)]
+        return "package {}\n\nfunc {}({}, {} string) int {{\n\t{} := {}({}, {})\n\t{} += len({})\n\treturn {} * {}\n}}\n".format(*w)
+
+    lib, other = tiny(71), tiny(72)
+    start = other.index("func")
+    files = [(1, "r1", "vendor/l/a.go", lib), (2, "r2", "b.go", lib.replace("+=", "-=")), (3, "r3", "c.go", other), (4, "r4", "deps/m/d.go", hand(8, 73) + "\n" + other[start:]), (5, "r5", "e.go", tiny(74)), (6, "r6", "f.go", tiny(74).replace("+=", "-="))]
+    assert all(provenance.SMALLEST_COPY <= len(provenance._exact(golang.lex(t))) <= 60 for t in (lib, other))
+    assert found(spark, files) == {i: "vendored" for i in range(1, 5)}  # 5 and 6 are alike, but nothing says third-party
+
+
 def test_trigrams():
     assert trigram.required("(?:abc|xyzw)d+") == ("and", [("or", ["abc", "xyzw"]), None]) or trigram.required("(?:abc|xyzw)d+") == ("or", ["abc", "xyzw"])
     assert trigram.required("a.*b") is None and trigram.required(r"gh[op]_\w{30,}") == ("or", ["gho_", "ghp_"])
