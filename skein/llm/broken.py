@@ -47,13 +47,34 @@ def _accepted(language: str, text: str) -> bool:
     return False
 
 
+def _refused(text: str) -> tuple[str, int, str] | None:
+    """Where Python's own parser fails on a text that the looser grammar accepts."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+    except SyntaxError as e:
+        line = e.lineno or 1
+        lines = text.split("\n")
+        near = lines[line - 1][max(0, (e.offset or 1) - 1) :] if line <= len(lines) else ""
+        return "token", line, near[:20]
+    except (ValueError, RecursionError, MemoryError):
+        pass
+    return None
+
+
 def check(language: str, text: str) -> tuple[str, int, str] | None:
-    """(kind 'token' or 'end', 1-based line, failing text) of an invalid text, None of a valid one."""
+    """(kind 'token' or 'end', 1-based line, failing text) of an invalid text, None of a valid one.
+
+    A text nested too deep for the parser is ('unchecked', 0, '').
+    """
     try:
         tokens, at = parsed(language, text)
-    except RecursionError:  # nested beyond reason; no claim about it
-        return None
-    if at is None or _accepted(language, text):
+    except RecursionError:
+        return None if _accepted(language, text) else ("unchecked", 0, "")
+    if at is None:
+        return _refused(text) if language == "python" else None
+    if _accepted(language, text):
         return None
     if at >= len(tokens.kinds):
         return "end", text.count("\n") + 1, ""
@@ -75,7 +96,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, repos, languages = batch.column(0), batch.column(1), batch.column(2)
         found = [check(g, t) for g, t in zip(languages.to_pylist(), (x.as_py() for x in batch.column(3)))]
         yield pa.RecordBatch.from_arrays(
-            [keys, repos, languages, pa.array([f is not None for f in found], pa.bool_()),
+            [keys, repos, languages, pa.array([None if f and f[0] == "unchecked" else f is not None for f in found], pa.bool_()),
              pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.int64()), pa.array([f and f[2] for f in found], pa.string())],
             names=["file_id", "repo", "language", "broken", "fails_at", "line", "near"],
         )
@@ -85,7 +106,8 @@ def checked(files: DataFrame) -> DataFrame:
     """(file_id, repo, language, broken, fails_at, line, near), one row a file and content.
 
     Files of other extensions and files without content (null) are left out; an empty file
-    is valid or not as its language has it. Whole files are parsed. Rows delivered again
+    is valid or not as its language has it. Whole files are parsed; one nested too deep to
+    be parsed has no ``broken`` (null) and fails_at 'unchecked'. Rows delivered again
     give one row.
     """
     rows = files.select(F.col("file_id").cast("long").alias("file_id"), "repo", language_of("path").alias("language"), "content").filter("language is not null and content is not null")
@@ -93,7 +115,8 @@ def checked(files: DataFrame) -> DataFrame:
 
 
 def rates(files: DataFrame) -> DataFrame:
-    """(repo, language, n_files, n_broken, rate): broken files by repository and language."""
-    once = checked(files).groupBy("file_id", "repo", "language").agg(F.max("broken").alias("broken"))
+    """(repo, language, n_files, n_broken, rate): broken files by repository and language, of
+    those that could be checked."""
+    once = checked(files).filter("broken is not null").groupBy("file_id", "repo", "language").agg(F.max("broken").alias("broken"))
     out = once.groupBy("repo", "language").agg(F.count("*").alias("n_files"), F.sum(F.col("broken").cast("long")).alias("n_broken"))
     return out.withColumn("rate", F.col("n_broken") / F.col("n_files"))

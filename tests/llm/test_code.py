@@ -285,6 +285,21 @@ def test_short_copies_patched_or_embedded(spark):
     assert found(spark, files) == {i: "vendored" for i in range(1, 5)}  # 5 and 6 are alike, but nothing says third-party
 
 
+def test_python_that_only_its_parser_refuses(spark, monkeypatch):
+    assert broken.check("python", "x = 1\nf() = 1\n")[:2] == ("token", 2) and not valid("python", "def f(a=1, b): pass\n")
+    assert valid("python", "f().x = 1\n")
+
+
+def test_texts_nested_too_deep_are_unchecked(spark, monkeypatch):
+    def deep(language, text):
+        raise RecursionError
+
+    monkeypatch.setattr(broken, "parsed", deep)
+    assert broken.check("go", "package a\n") == ("unchecked", 0, "") and broken.check("json", "[]") is None
+    batch = next(broken._check(iter([broken.pa.RecordBatch.from_pylist([{"a": 1, "b": "r", "c": "go", "d": "package a\n"}])])))
+    assert batch.column(3).to_pylist() == [None] and batch.column(4).to_pylist() == ["unchecked"]
+
+
 def test_trigrams():
     assert trigram.required("(?:abc|xyzw)d+") == ("and", [("or", ["abc", "xyzw"]), None]) or trigram.required("(?:abc|xyzw)d+") == ("or", ["abc", "xyzw"])
     assert trigram.required("a.*b") is None and trigram.required(r"gh[op]_\w{30,}") == ("or", ["gho_", "ghp_"])
