@@ -60,7 +60,7 @@ _ENCODED = re.compile(r"(?=.*[0-9+/=\\])[A-Za-z0-9+/=_\\-]{16,}")
 _LOCK = re.compile(r'"(?:lockVersion|lockfileVersion)"\s*:')
 
 _LEX = {"go": golang.lex, "python": python.lex, "yaml": yamllang.lex, "json": jsonlang.lex, "javascript": lambda t: javascript.lex(t)[0]}
-_LITERAL = frozenset(["STR", "NUM", "CHR", "TFULL"])
+_LITERAL = frozenset(["STR", "NUM", "CHR", "TFULL", "SCALAR"])
 
 
 def header(language: str, text: str) -> list[str]:
@@ -132,15 +132,16 @@ def verdict(language: str, path: str, text: str) -> tuple[str | None, Tokens]:
         return "vendored", tokens
     marked = any(_TOOL.search(x) and not _NOT_TOOL.search(x) for x in head)
     n, size = len(kinds), max(1, len(text))
-    if language == "yaml":
-        return ("generated" if marked or _STAMP.search(text) else None), tokens
+    # keys of lock files and stamps of generators come before the data test: hashes fill lock files
+    if language == "yaml" and (marked or _STAMP.search(text)) or language == "json" and _LOCK.search(text) and '"integrity"' in text:
+        return "generated", tokens
     literals = _data_literals(tokens)
     held = sum(map(len, literals)) / size
     spread = sum(4 if k == "NUM" else 2 for k in kinds if k in _LITERAL) / size  # marks around and between them
-    if language != "json" and held + spread >= DATA_SHARE and randomness(literals) >= DATA_BITS:
+    if held + spread >= DATA_SHARE and randomness(literals) >= DATA_BITS:
         return "data", tokens
-    if language == "json":
-        return ("generated" if _LOCK.search(text) and '"integrity"' in text else None), tokens
+    if language in ("yaml", "json"):  # hand-written ones are as regular as a tool's
+        return None, tokens
     if language == "javascript" and n >= LEAST_TOKENS:
         lines = text.count("\n") + 1
         blanks = sum(map(text.count, " \n\t\r")) / size

@@ -300,6 +300,16 @@ def test_texts_nested_too_deep_are_unchecked(spark, monkeypatch):
     assert batch.column(3).to_pylist() == [None] and batch.column(4).to_pylist() == ["unchecked"]
 
 
+def test_encoded_tables_in_json():
+    rng = random.Random(4)
+    cells = ["".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(60)) for _ in range(12)]
+    assert provenance.verdict("json", "a/t.json", json.dumps({"rows": cells}))[0] == "data"
+    assert provenance.verdict("yaml", "a/t.yaml", "rows:\n" + "".join(f'- "{c}"\n' for c in cells))[0] == "data"
+    assert provenance.verdict("json", "a/l.json", json.dumps({"lockVersion": 1, "integrity": cells}))[0] == "generated"
+    assert provenance.verdict("json", "a/p.json", json.dumps({"name": "x", "scripts": {"build": "make all"}}))[0] is None
+    assert provenance.verdict("yaml", "a/p.yaml", "a: 1\nb: text of ours\n")[0] is None
+
+
 def test_trigrams():
     assert trigram.required("(?:abc|xyzw)d+") == ("and", [("or", ["abc", "xyzw"]), None]) or trigram.required("(?:abc|xyzw)d+") == ("or", ["abc", "xyzw"])
     assert trigram.required("a.*b") is None and trigram.required(r"gh[op]_\w{30,}") == ("or", ["gho_", "ghp_"])
