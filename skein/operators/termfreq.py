@@ -1,8 +1,9 @@
 """Frequency of every distinct value: occurrences, records and a mark.
 
-Last-seen counters: values reach the counters ordered by record; a value's counter keeps
-its occurrences, its records and the last record that held it, so a record is counted when
-it is not the one seen last and no set of records is ever kept. Records are spread by the
+Counters of occurrences and records. The method as named keeps in each counter the last
+record that held the value; here each batch's codes are sorted by record and neighbours
+compared, which counts the same, since a record lies in one batch only, and no set of
+records is ever kept. Records are spread by the
 hash of their id, not values by theirs, so a value found in a third of all records loads no
 task more than others; the partial counters of a task are added up afterwards, which is
 exact because a record is seen by one task only.
