@@ -11,12 +11,14 @@ import ast
 import json
 import warnings
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.syntax import golang, javascript, jsonlang, python, yamllang
+from skein.sources.tokens import Tokens
 
 #: The extensions that are checked, and their languages.
 LANGUAGES = {"go": "go", "py": "python", "js": "javascript", "yaml": "yaml", "json": "json"}
@@ -31,55 +33,64 @@ def parsed(language: str, text: str):
     return tokens, lexer.failure(tokens)
 
 
-def _accepted(language: str, text: str) -> bool:
-    """Exact check of a rejected text, where the language has a parser here."""
-    try:
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return True
-        if language == "json":
-            json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
-            return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        pass
-    return False
-
-
-def _refused(text: str) -> tuple[str, int, str] | None:
-    """Where Python's own parser fails on a text that the looser grammar accepts."""
+class Finding(NamedTuple):
+    """What was found out about a text. ``fault``: None if it is valid, else (kind 'token' or
+    'end', 1-based line, failing text), or ('unchecked', 0, '') of a text nested too deep for
+    the parser. ``tree``: Python's own syntax tree where its parser could make one."""
+
+    fault: tuple[str, int, str] | None
+    tokens: Tokens | None
+    tree: ast.AST | None = None
+
+
+def _python(text: str) -> tuple[ast.AST | None, SyntaxError | None, bool]:
+    """(tree, error, whether the parser told at all) of Python's own parser."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            ast.parse(text)
+            return ast.parse(text), None, True
     except SyntaxError as e:
-        line = e.lineno or 1
-        lines = text.split("\n")
-        near = lines[line - 1][max(0, (e.offset or 1) - 1) :] if line <= len(lines) else ""
-        return "token", line, near[:20]
+        limit = (e.msg or "").startswith("too many")  # of that parser, not of the language
+        return None, None if limit else e, not limit
     except (ValueError, RecursionError, MemoryError):
-        pass
-    return None
-
+        return None, None, False
 
-def check(language: str, text: str) -> tuple[str, int, str] | None:
-    """(kind 'token' or 'end', 1-based line, failing text) of an invalid text, None of a valid one.
 
-    A text nested too deep for the parser is ('unchecked', 0, '').
-    """
+def _json(text: str) -> bool:
+    """Whether the standard library reads a text that the grammar rejects."""
+    try:
+        json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        return True
+    except (ValueError, RecursionError):
+        return False
+
+
+def examine(language: str, text: str) -> Finding:
+    """Parse a text with derivatives; where the language has a parser here, it confirms."""
+    tree = error = None
+    told = False
+    if language == "python":
+        tree, error, told = _python(text)
     try:
         tokens, at = parsed(language, text)
     except RecursionError:
-        return None if _accepted(language, text) else ("unchecked", 0, "")
-    if at is None:
-        return _refused(text) if language == "python" else None
-    if _accepted(language, text):
-        return None
+        fine = tree is not None or language == "json" and _json(text)
+        return Finding(None if fine else ("unchecked", 0, ""), None, tree)
+    if at is None and error is not None:  # the grammar is looser than Python's own
+        line, lines = error.lineno or 1, text.split("\n")
+        near = lines[line - 1][max(0, (error.offset or 1) - 1) :] if line <= len(lines) else ""
+        return Finding(("token", line, near[:20]), tokens)
+    if at is None or told and tree is not None or language == "json" and _json(text):
+        return Finding(None, tokens, tree)
     if at >= len(tokens.kinds):
-        return "end", text.count("\n") + 1, ""
+        return Finding(("end", text.count("\n") + 1, ""), tokens)
     place = tokens.starts[at]
-    return "token", text.count("\n", 0, place) + 1, text[place : place + 20]
+    return Finding(("token", text.count("\n", 0, place) + 1, text[place : place + 20]), tokens)
+
+
+def check(language: str, text: str) -> tuple[str, int, str] | None:
+    """The fault of a text, None of a valid one; see :class:`Finding`."""
+    return examine(language, text).fault
 
 
 def language_of(path) -> F.Column:

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import ast
 import bisect
+import inspect
 import re
-import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.broken import language_of, parsed
+from skein.llm import broken
+from skein.llm.broken import language_of
 from skein.llm.syntax import javascript
 from skein.sources.tokens import Tokens
 
@@ -161,10 +162,7 @@ def _assigned(kinds: list[str], start: int) -> int | None:
     return None
 
 
-def python_functions(text: str) -> Iterator[Function]:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        tree = ast.parse(text)
+def python_functions(tree: ast.AST, text: str) -> Iterator[Function]:
     lines = re.split(r"(?<=\n)", text)
     offsets = [0]
     for row in lines:
@@ -176,6 +174,38 @@ def python_functions(text: str) -> Iterator[Function]:
             yield Function(node.name, node.lineno, start, end, ast.get_docstring(node, clean=True) or "")
 
 
+def python_functions_by_tokens(tokens: Tokens) -> Iterator[Function]:
+    """Functions of a valid file that is beyond the limits of Python's own parser."""
+    t, kinds, tree = tokens, tokens.kinds, Tree(tokens)
+    for i, k in enumerate(kinds):
+        if k != "def":
+            continue
+        j = i + 2
+        while kinds[j] != ":":
+            j = tree.partner[j] + 1 if kinds[j] in ("(", "[", "{") else j + 1
+        body, depth, end = j + 1, 0, j + 1
+        if kinds[body] == "NEWLINE":
+            body, end = body + 2, body + 1
+            while True:
+                depth += (kinds[end] == "INDENT") - (kinds[end] == "DEDENT")
+                if not depth:
+                    break
+                end += 1
+        else:
+            while kinds[end] != "NEWLINE":
+                end += 1
+        last, doc = body, ""
+        while kinds[last] == "STR":
+            last += 1
+        if last > body and kinds[last] in ("NEWLINE", ";"):
+            value = ast.literal_eval("(" + " ".join(map(t.word, range(body, last))) + ")")
+            doc = inspect.cleandoc(value) if isinstance(value, str) else ""
+        while t.starts[end - 1] == t.ends[end - 1] or kinds[end - 1] == "NEWLINE":
+            end -= 1
+        first = i - (i > 0 and kinds[i - 1] == "async")
+        yield Function(t.word(i + 1), tree.line(t.starts[first]), t.starts[first], t.ends[end - 1], doc)
+
+
 def _place(lines: list[str], offsets: list[int], line: int, column: int) -> int:
     """Character offset of a line and a column in bytes."""
     return offsets[line - 1] + len(lines[line - 1].encode()[:column].decode("utf-8", "ignore"))
@@ -187,16 +217,19 @@ def unified(text: str) -> str:
 
 
 def functions(language: str, text: str) -> list[Function]:
-    """All named functions and methods with a body; none of a file that doesn't parse."""
-    tokens, failing = parsed(language, text)
-    if failing is not None:
+    """All named functions and methods with a body; none of a file that is no valid text of
+    its language, as :func:`skein.llm.broken.examine` has it."""
+    found = broken.examine(language, text)
+    if found.fault is not None:
         return []
-    if language == "python":
-        try:
-            return list(python_functions(unified(text)))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
-    return list((go_functions if language == "go" else js_functions)(Tree(tokens)))
+    if language != "python":
+        return list((go_functions if language == "go" else js_functions)(Tree(found.tokens)))
+    plain = unified(text)
+    if plain != text:
+        found = broken.examine(language, plain)  # places are told of this text
+    if found.tree is not None:
+        return list(python_functions(found.tree, plain))
+    return list(python_functions_by_tokens(found.tokens)) if found.fault is None else []
 
 
 # What is no prose in documentation.
@@ -279,9 +312,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, language, content in zip(*(batch.column(i) for i in range(3))):
             text, language = content.as_py(), language.as_py()
-            if language == "python":
-                text = unified(text)
-            for f in functions(language, text):
+            found = functions(language, text)
+            text = unified(text) if language == "python" else text
+            for f in found:
                 if is_real(f.doc, f.name, language == "python"):
                     rows.append((key.as_py(), f.name, f.line, language, "\n".join(prose(f.doc, f.name, language == "python")), text[f.start : f.end]))
         if rows:

@@ -1,11 +1,13 @@
 """Parsing with derivatives over token streams, memoised.
 
-A language is a set of stacks of grammar nodes (what may still follow, the next node on
-top). Its derivative by a token is the set of what may follow after that token. Stacks are
-shared and every derivative is kept, of a node, of a stack and of a whole language, so the
-languages met while parsing become the states of a growing automaton and a token costs one
-look-up. The empty language marks the token at which the text fails; a language at the end
-that does not hold the empty word marks a truncated text.
+A language is what may still follow: grammar nodes, each with the language that follows it
+in turn. Its derivative by a token is the language of what may follow after that token.
+Languages that begin with the same node are merged into one, what follows them likewise (a
+shared stack graph), so a language has at most as many parts as the grammar has nodes, however
+deep and ambiguous the text. Every derivative is kept, so the languages met while parsing
+become the states of a growing automaton and a token costs one look-up. The empty language
+marks the token at which the text fails; a language at the end that does not hold the empty
+word marks a truncated text.
 """
 
 from __future__ import annotations
@@ -17,23 +19,14 @@ _TOKEN = re.compile(r"\s+|#[^\n]*|'([^']+)'|([A-Za-z_][A-Za-z_0-9]*)|([()|?*+=;%
 MOST_STATES = 150_000
 
 
-class Cell:
-    """A stack: a node on top of the rest."""
-
-    __slots__ = ("node", "rest", "memo", "nullable")
-
-    def __init__(self, node, rest, nullable):
-        self.node, self.rest, self.memo, self.nullable = node, rest, {}, nullable
-
-
 class State:
-    """A language: the stacks it is made of, and the derivatives known so far."""
+    """A language: the pairs of a node and the language after it, and whether the empty word
+    ends it here (``eps``); the derivatives known so far."""
 
-    __slots__ = ("cells", "next", "nullable")
+    __slots__ = ("items", "eps", "next", "nullable")
 
-    def __init__(self, cells):
-        self.cells, self.next = cells, {}
-        self.nullable = any(c is None or c.nullable for c in cells)
+    def __init__(self, items, eps, nullable):
+        self.items, self.eps, self.nullable, self.next = items, eps, nullable, {}
 
 
 class Grammar:
@@ -58,10 +51,28 @@ class Grammar:
             self._expect("=")
             self.rules[name] = self._alternatives()
             self._expect(";")
-        self._null: dict = {}
+        self._ids: dict = {}
+        self._kinds: list = []
+        self._args: list = []
+        names = {n: self._number(("n", n)) for n in self.rules}
+        for n, body in self.rules.items():
+            self._args[names[n]] = self._number(body)
         self._nullables()
         self.reset()
 
+    def _number(self, node) -> int:
+        """The number of a node; equal nodes have one."""
+        kind, arg = node
+        if kind == "n" and arg not in self.rules:
+            node = kind, arg = "t", arg
+        found = self._ids.get(node)
+        if found is None:
+            parts = tuple(map(self._number, arg)) if kind in ("seq", "alt") else self._number(arg) if kind == "star" else arg
+            found = self._ids[node] = len(self._kinds)
+            self._kinds.append(kind)
+            self._args.append(parts)
+        return found
+
     def _take(self):
         self._at += 1
         return self._tokens[self._at - 1]
@@ -101,46 +112,35 @@ class Grammar:
         return parts[0] if len(parts) == 1 else ("seq", tuple(parts))
 
     def _nullables(self) -> None:
-        nullable, changed = {n: False for n in self.rules}, True
-
-        def of(node):
-            kind, arg = node
-            if kind == "seq":
-                return all(map(of, arg))
-            if kind == "alt":
-                return any(map(of, arg))
-            return kind == "star" or (kind == "n" and nullable.get(arg, False))
-
+        """Which nodes hold the empty word."""
+        null = self._null = [kind == "star" for kind in self._kinds]
+        changed = True
         while changed:
             changed = False
-            for name, body in self.rules.items():
-                if not nullable[name] and of(body):
-                    nullable[name] = changed = True
-        self._is_null = of
+            for i, (kind, arg) in enumerate(zip(self._kinds, self._args)):
+                if not null[i] and (kind == "n" and null[arg] or kind == "seq" and all(null[x] for x in arg) or kind == "alt" and any(null[x] for x in arg)):
+                    null[i] = changed = True
 
     def reset(self) -> None:
         """Forget all derivatives of languages."""
-        self._node_memo, self._cells, self._states = {}, {}, {}
-        self.empty = self._state(frozenset())
-        self.first = self._state(frozenset([self._push((("n", self.start_rule),), None)]))
-
-    def _nullable(self, node) -> bool:
-        found = self._null.get(node)
-        if found is None:
-            found = self._null[node] = self._is_null(node)
-        return found
-
-    def _node(self, node, token) -> frozenset:
-        """The derivative of a node: what may remain of it after the token."""
+        self._nodes: dict = {}
+        self._states: dict = {}
+        self._unions: dict = {}
+        self.empty = self._state(frozenset(), False)
+        self._end = self._state(frozenset(), True)
+        self.first = self._push((self._ids["n", self.start_rule],), self._end)
+
+    def _node(self, node: int, token: str) -> frozenset:
+        """The derivative of a node: the sequences of nodes that may remain of it after the token."""
         key = node, token
-        found = self._node_memo.get(key)
+        found = self._nodes.get(key)
         if found is not None:
             return found
-        kind, arg = node
-        if kind == "t" or kind == "n" and arg not in self.rules:
+        kind, arg = self._kinds[node], self._args[node]
+        if kind == "t":
             out = frozenset([()]) if arg == token else frozenset()
         elif kind == "n":
-            out = self._node(self.rules[arg], token)
+            out = self._node(arg, token)
         elif kind == "alt":
             out = frozenset().union(*(self._node(x, token) for x in arg))
         elif kind == "star":
@@ -149,47 +149,57 @@ class Grammar:
             out = set()
             for i, x in enumerate(arg):
                 out |= {r + arg[i + 1 :] for r in self._node(x, token)}
-                if not self._nullable(x):
+                if not self._null[x]:
                     break
             out = frozenset(out)
-        self._node_memo[key] = out
+        self._nodes[key] = out
         return out
 
-    def _push(self, nodes, rest):
-        for node in reversed(nodes):
-            if node == ("seq", ()):
-                continue
-            key = node, id(rest)
-            cell = self._cells.get(key)
-            if cell is None:
-                cell = self._cells[key] = Cell(node, rest, self._nullable(node) and (rest is None or rest.nullable))
-            rest = cell
+    def _state(self, items: frozenset, eps: bool) -> State:
+        key = items, eps
+        state = self._states.get(key)
+        if state is None:
+            nullable = eps or any(self._null[n] and rest.nullable for n, rest in items)
+            state = self._states[key] = State(items, eps, nullable)
+        return state
+
+    def _push(self, nodes: tuple, rest: State) -> State:
+        for n in reversed(nodes):
+            rest = self._state(frozenset([(n, rest)]), False)
         return rest
 
-    def _stack(self, cell, token) -> frozenset:
-        """The derivative of a stack."""
-        if cell is None:
-            return frozenset()
-        found = cell.memo.get(token)
+    def _union(self, parts: frozenset) -> State:
+        """One language of several; those that begin with the same node share it."""
+        parts = parts - {self.empty}
+        if len(parts) < 2:
+            return next(iter(parts), self.empty)
+        found = self._unions.get(parts)
         if found is None:
-            out = {self._push(r, cell.rest) for r in self._node(cell.node, token)}
-            if self._nullable(cell.node):
-                out |= self._stack(cell.rest, token)
-            found = cell.memo[token] = frozenset(out)
+            after: dict[int, set] = {}
+            for p in parts:
+                for n, rest in p.items:
+                    after.setdefault(n, set()).add(rest)
+            items = frozenset((n, self._union(frozenset(rests))) for n, rests in after.items())
+            found = self._unions[parts] = self._state(items, any(p.eps for p in parts))
         return found
 
-    def _state(self, cells) -> State:
-        state = self._states.get(cells)
-        if state is None:
-            state = self._states[cells] = State(cells)
-        return state
-
     def derive(self, state: State, token: str) -> State:
         """The derivative of a language; the empty one is ``self.empty``."""
-        found = state.next.get(token)
-        if found is None:
-            found = state.next[token] = self._state(frozenset().union(*(self._stack(c, token) for c in state.cells)))
-        return found
+        null, waiting = self._null, [state]
+        while waiting:  # what follows a nullable node comes first; a loop, for it may be far
+            now = waiting[-1]
+            if token in now.next:
+                waiting.pop()
+                continue
+            before = [rest for n, rest in now.items if null[n] and token not in rest.next]
+            if before:
+                waiting += before
+                continue
+            parts = {self._push(r, rest) for n, rest in now.items for r in self._node(n, token)}
+            parts.update(rest.next[token] for n, rest in now.items if null[n])
+            now.next[token] = self._union(frozenset(parts))
+            waiting.pop()
+        return state.next[token]
 
     def begin(self) -> State:
         if len(self._states) > MOST_STATES:

@@ -11,7 +11,7 @@ KEYWORDS = frozenset("False None True and as assert async await break class cont
 _LEX = re.compile(
     r"""(?P<s>[ \t\f]+|\\\r?\n)|(?P<c>\#[^\n\r]*)|(?P<nl>\r?\n|\r)
     |(?P<STR>(?:[rR][bB]?|[bB][rR]?|[uU]|[fFtT][rR]?|[rR][fFtT])?(?:'''(?:[^\\']|\\.|'(?!''))*'''|\"{3}(?:[^\\"]|\\.|"(?!""))*\"{3}|'(?:[^\\'\n\r]|\\(?:\r\n|.))*'|"(?:[^\\"\n\r]|\\(?:\r\n|.))*"))
-    |(?P<NUM>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]|0(?:_?0)*|[1-9](?:_?\d)*))(?!\w)
+    |(?P<NUM>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]|0(?:_?0)*|[1-9](?:_?\d)*))(?:(?!\w)|(?=(?:and|else|for|if|in|is|or|not)\b))
     |(?P<NAME>[^\W\d]\w*)
     |(?P<OP>\*\*=|//=|>>=|<<=|\.\.\.|!=|==|<=|>=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=])""",
     re.S | re.X,

@@ -3,6 +3,7 @@
 import ast
 import json
 import random
+import time
 
 import pytest
 
@@ -300,6 +301,35 @@ def test_texts_nested_too_deep_are_unchecked(spark, monkeypatch):
     assert batch.column(3).to_pylist() == [None] and batch.column(4).to_pylist() == ["unchecked"]
 
 
+NESTED = {
+    "python": ["x = " + "(" * 190 + "1" + ")" * 190 + "\n", "x = " + "[" * 190 + "1" + "]" * 190 + "\n", "x = " + "{1: " * 190 + "1" + "}" * 190 + "\n", "x = " + "a[" * 190 + "1" + "]" * 190 + "\n", "x = " + "(" * 1500 + "1" + ")" * 1500 + "\n"],
+    "go": ["package a\nvar x = " + "(" * 1500 + "1" + ")" * 1500 + "\n", "package a\nvar x = " + "a[" * 800 + "1" + "]" * 800 + "\n", "package a\nvar x = T" + "{" * 1500 + "1" + "}" * 1500 + "\n"],
+    "javascript": ["x = " + "(" * 1500 + "1" + ")" * 1500, "x = " + "[" * 1500 + "1" + "]" * 1500, "x = " + "{a: " * 900 + "1" + "}" * 900, "x = " + "a ? b : " * 1500 + "1"],
+    "json": ["[" * 3000 + "]" * 3000, '{"a": ' * 3000 + "1" + "}" * 3000],
+    "yaml": ["a: " + "[" * 1500 + "1" + "]" * 1500 + "\n", "- " * 1500 + "1\n"],
+}
+
+
+@pytest.mark.parametrize("language", NESTED)
+def test_nested_texts_cost_no_more_than_they_are_long(language):
+    for text in NESTED[language]:
+        began = time.process_time()
+        assert valid(language, text), text[:30]
+        assert not valid(language, text.rstrip()[:-1]) or language == "yaml" or text.startswith(("x = a ?", "- "))
+        assert time.process_time() - began < 6, text[:30]
+
+
+def test_pairs_and_validity_agree_on_files(spark):
+    """What p6 has as valid gives its functions, whichever parser said so."""
+    doc = 'def read(a):\n    """Reads the table from disk once."""\n    return 1if a else 2\n\n\nclass B:\n    async def write(self): "Writes the table to disk again."; return\n'
+    deep = doc + "x = " + "(" * 400 + "1" + ")" * 400 + "\n"
+    for text in (doc, deep):
+        got = docpairs.functions("python", text)
+        assert valid("python", text) and [(f.name, f.line, f.doc) for f in got] == [("read", 1, "Reads the table from disk once."), ("write", 7, "Writes the table to disk again.")]
+        assert text[got[0].start : got[0].end].endswith("else 2") and text[got[1].start : got[1].end].endswith("; return")
+    assert docpairs.functions("python", doc + "f() = 1\n") == [] and not valid("python", doc + "f() = 1\n")
+
+
 def test_encoded_tables_in_json():
     rng = random.Random(4)
     cells = ["".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(60)) for _ in range(12)]
