@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows below which a side may be broadcast (about 40 MB at 80 bytes a row).
-BROADCAST_ROWS = 500_000
+#: Rows and bytes (text and array elements counted as they are long) up to which a side may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,13 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """The folder all executors share, from ``spark.checkpoint.dir`` or ``SKEIN_CHECKPOINT_DIR``.
 
-    Only where the session names none (as in local tests) a temporary one is set.
+    Only a session in this very process (a local master, as in tests) may go without: it gets
+    a temporary folder, removed when the process ends. On a cluster that would be an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.environ.get("SKEIN_CHECKPOINT_DIR")
     if not found:
-        found = os.environ.get("SKEIN_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="skein-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,9 +43,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the side is measured to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(field: T.StructField) -> F.Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType):
+        return F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a side is measured to have at most ``rows`` rows and ``most`` bytes; one job, of
+    no more than ``rows`` rows."""
+    size = sum((_width(f) for f in df.schema.fields), F.lit(0))
+    n, held = df.limit(rows + 1).select(size.cast("long").alias("b")).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and held <= most
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only of a side that :func:`is_small`. The side is computed once more
+    when it is used, so give it a written table (:func:`cut`) or a cheap one."""
+    return F.broadcast(df) if is_small(df, rows, most) else df
 
 
 def instant(col) -> F.Column:

@@ -13,13 +13,13 @@ from skein.store import Graph, top
 
 
 def get(g: Graph, entity_id: str) -> DataFrame:
-    return g.entities.filter(F.col("id") == entity_id)
+    return g.nodes(entity_id)
 
 
 def batch(g: Graph, ids: list[str]) -> DataFrame:
     """Entities in the order asked for; ids that don't exist are left out."""
     asked = g.spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id string, pos long")
-    return g.entities.join(F.broadcast(asked), "id").orderBy("pos")  # the caller's list
+    return g.nodes(*ids).join(F.broadcast(asked), "id").orderBy("pos")  # the caller's list
 
 
 def of_kind(kind: str | None):
@@ -35,10 +35,10 @@ def lookup(g: Graph, kind: str | None, name: str = "", limit: int = 20) -> DataF
 
 def incident(g: Graph, entity_id: str, direction: str = "both", edge_type: str = "") -> DataFrame:
     """Edges of an entity by id; under 'both' a loop is there twice. Other directions give none."""
-    e = g.edges.filter(F.col("type") == edge_type) if edge_type else g.edges
-    out, into = e.filter(F.col("src") == entity_id), e.filter(F.col("dst") == entity_id)
+    out, into = g.links("src", entity_id), g.links("dst", entity_id)
     found = {"from": out, "to": into, "both": out.unionAll(into), "": out.unionAll(into)}.get(direction)
-    return (e.filter("false") if found is None else found).orderBy("id")
+    found = out.filter("false") if found is None else found
+    return (found.filter(F.col("type") == edge_type) if edge_type else found).orderBy("id")
 
 
 def search(g: Graph, query: str, limit: int = 20) -> DataFrame:
@@ -62,7 +62,7 @@ def stats(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def callers(g: Graph, entity_id: str) -> DataFrame:
-    to = g.edges.filter((F.col("dst") == entity_id) & (F.col("type") == "calls")).select(F.col("src").alias("id"))
+    to = g.links("dst", entity_id).filter(F.col("type") == "calls").select(F.col("src").alias("id"))
     return g.entities.join(to, "id").orderBy("id")
 
 

@@ -41,10 +41,10 @@ def investigate(g: Graph, root: str, each: int = 20) -> dict[str, DataFrame]:
     parts = {}
     for name, here, there in (("out", "src", "dst"), ("in", "dst", "src")):
         ends = g.entities.select(F.col("id").alias(there), F.col("name").alias("other_name"), F.col("kind").alias("other_kind"))
-        found = g.edges.filter(F.col(here) == root).join(ends, there)
+        found = g.links(here, root).join(ends, there)
         parts[name] = numbered(found, ["type"], "ord", "id").filter(F.col("n") <= each)
     parts["tests"] = parts["out"].filter(F.col("type") == "tested_by")
-    file = g.entities.filter(F.col("id") == root).select("source_file").first()
+    file = g.nodes(root).select("source_file").first()
     near = where(g, file[0], each + 1) if file else g.entities.filter("false")
     parts["siblings"] = top(near.filter(F.col("id") != root), each, "id")
     return parts
@@ -55,25 +55,41 @@ def impact(g: Graph, roots: DataFrame, depth: int = DEPTH, most: int = CHAIN) ->
     of a breadth-first walk (by the caller's place, then the edge's); the root has pos 1.
 
     The cap is tested after a node is added: when it is reached, each further level may still
-    add the first new caller of its first node. A level is one join of the frontiers with the
-    edges by callee; edges are combined to one row a pair first.
+    add the first new caller of its first node. So a chain has at most ``most + depth`` nodes,
+    and of a callee no more than its first ``2 * most + depth`` callers can matter: the others
+    are cut off, and a callee of a third of all functions is one row like any other. A level is
+    one join of the frontiers with the callees' rows, of a capped root only its first node, and
+    one shuffle by root in which what was seen before is told apart; each level is written once.
     """
     calls = g.edges.filter(F.col("type") == "calls").join(g.entities.select(F.col("id").alias("src")), "src", "left_semi")
-    calls = cut(calls.groupBy("dst", "src").agg(F.min(F.struct("ord", "id")).alias("o")))
-    first = roots.select(F.col("id").alias("root")).distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("level"), F.lit(1).alias("pos"))
-    seen = frontier = cut(first)
+    calls = calls.groupBy("dst", "src").agg(F.min(F.struct("ord", "id")).alias("o"))
+    calls = numbered(calls, ["dst"], "o", "src").filter(F.col("n") <= 2 * most + depth)
+    calls = calls.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("n", "src"))).alias("callers"))
+    calls = cut(calls).repartition("dst").persist()  # each level joins it anew
+    width = 2 * most + depth + 1
+    columns = ["root", "id", "level", "pos"]
+    first = roots.select(F.col("id").alias("root")).distinct()
+    first = first.select("root", F.col("root").alias("id"), F.lit(0).alias("level"), F.lit(1).alias("pos"), F.lit(1).alias("n"), F.lit(1).alias("lead"))
+    seen = [cut(first)]
     for level in range(1, depth + 1):
-        step = frontier.select("root", F.col("id").alias("dst"), F.col("pos").alias("parent")).join(calls, "dst")
-        new = step.groupBy("root", F.col("src").alias("id")).agg(F.min(F.struct("parent", "o", "dst")).alias("k"))
-        new = new.join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        count = seen.groupBy("root").agg(F.max("pos").alias("n"))
-        lead = frontier.groupBy("root").agg(F.min("pos").alias("lead"))
-        new = new.join(count, "root").join(lead, "root")
-        new = new.withColumn("i", F.row_number().over(Window.partitionBy("root").orderBy("k", "id")))
-        kept = F.when(F.col("n") < most, F.col("i") <= most - F.col("n")).otherwise((F.col("i") == 1) & (F.col("k.parent") == F.col("lead")))
-        frontier = cut(new.filter(kept).select("root", "id", F.lit(level).alias("level"), (F.col("n") + F.col("i")).alias("pos")))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        asked = seen[-1].filter((F.col("n") < most) | (F.col("pos") == F.col("lead")))
+        step = asked.withColumnRenamed("id", "dst").join(calls, "dst").select("root", "n", "lead", "pos", F.explode("callers").alias("c"))
+        # places in the walk are one number: the callee's place, then the caller's among its callers
+        step = step.select("root", F.col("c.src").alias("id"), "n", "lead", (F.col("pos") * width + F.col("c.n")).alias("k"))
+        for old in seen:
+            step = step.unionAll(old.select("root", "id", F.lit(0).alias("n"), F.lit(0).alias("lead"), F.lit(-1).alias("k")))
+        new = step.repartition("root").groupBy("root", "id").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.max("lead").alias("lead")).filter("k >= 0")
+        w = Window.partitionBy("root").orderBy("k")
+        new = new.withColumn("i", F.row_number().over(w))
+        kept = F.when(F.col("n") < most, F.col("i") <= most - F.col("n")).otherwise((F.col("i") == 1) & (F.floor(F.col("k") / width) == F.col("lead")))
+        new = new.filter(kept).select("root", "id", F.lit(level).alias("level"), (F.col("n") + F.col("i")).alias("pos"), F.col("n").alias("was"))
+        whole = Window.partitionBy("root")
+        seen.append(cut(new.select(*columns, F.max("pos").over(whole).alias("n"), (F.col("was") + 1).alias("lead"))))
+    calls.unpersist()
+    out = seen[0].select(*columns)
+    for part in seen[1:]:
+        out = out.unionAll(part.select(*columns))
+    return out
 
 
 def impact_parts(g: Graph, chain: DataFrame, cap: int = 30) -> dict[str, DataFrame]:

@@ -234,69 +234,67 @@ def _(spark, d, g):
     return _brief(traverse.investigate(g, _controller(spark, d))["siblings"])
 
 
-_UP = """with c as (select distinct dst, src from r where type = 'calls' and src in (select id from e)),
-up as (select id as root, id, 0 as level from e where kind = 'function' and id in (select dst from c) union select up.root, c.src, up.level + 1 from up join c on c.dst = up.id where up.level < 5),
-chain as (select root, id, min(level) as level from up group by root, id),
-small as (select root from chain group by root having count(*) <= 50),
-part as (select chain.* from chain join small using (root)) """
+def _up_sql(depth: int = traverse.DEPTH, most: int = traverse.CHAIN) -> str:
+    """The capped walk, level by level: f0 .. are the frontiers, chain all of them."""
+    out = [
+        "with pair as (select dst, src, min((ord, id)) as o from r where type = 'calls' and src in (select id from e) group by dst, src)",
+        "c as (select dst, src, row_number() over (partition by dst order by o, src) as rk from pair)",
+        "f0 as (select id as root, id, 0 as level, 1 as pos from e where kind = 'function' and id in (select dst from c))",
+    ]
+    for n in range(1, depth + 1):
+        seen = " union all ".join(f"select root, id, pos from f{i}" for i in range(n))
+        out += [
+            f"s{n} as ({seen})",
+            f"t{n} as (select f.root, c.src as id, min(f.pos * 1000000 + c.rk) as k from f{n - 1} f join c on c.dst = f.id where not exists (select 1 from s{n} s where s.root = f.root and s.id = c.src) group by f.root, c.src)",
+            f"u{n} as (select t.root, t.id, t.k, z.n, y.lead, row_number() over (partition by t.root order by t.k) as i from t{n} t join (select root, max(pos) as n from s{n} group by root) z using (root) join (select root, min(pos) as lead from f{n - 1} group by root) y using (root))",
+            f"f{n} as (select root, id, {n} as level, n + i as pos from u{n} where case when n < {most} then i <= {most} - n else i = 1 and k // 1000000 = lead end)",
+        ]
+    return ", ".join(out) + ", chain as (" + " union all ".join(f"select * from f{n}" for n in range(depth + 1)) + ") "
+
+
+_UP = _up_sql()
+_CHAIN_COLS = "cast(level as bigint) as level, cast(pos as bigint) as pos"
 
 
 @lru_cache(maxsize=4)
 def _all_chains(spark, d):
     g = _graph(spark, d)
     called = g.edges.filter("type = 'calls'").join(g.names.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-    roots = g.entities.filter("kind = 'function'").join(called, "id", "left_semi").select("id")
-    chains = traverse.impact(g, roots)
-    small = chains.groupBy("root").count().filter("count < 50").select("root")
-    # a chain of exactly 50 may be a capped one; only those known to be whole are compared
-    return chains, chains.join(small, "root", "left_semi")
+    return traverse.impact(g, g.entities.filter("kind = 'function'").join(called, "id", "left_semi").select("id"))
 
 
-_UP = _UP.replace("<= 50", "< 50")
+def _chained(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*columns, F.col("level").cast("long").alias("level"), F.col("pos").cast("long").alias("pos"))
 
 
-@query("impact_all_roots", _UP + "select root, id, cast(level as bigint) as level from part", recursive=True)
+@query("impact_all_roots", _UP + f"select root, id, {_CHAIN_COLS} from chain")
 def _(spark, d, g):
-    return _all_chains(spark, d)[1].select("root", "id", F.col("level").cast("long").alias("level"))
+    return _chained(_all_chains(spark, d), "root", "id")
 
 
-@query("impact_capped_roots")
+@query("impact_capped_roots", _UP + f"select root, id, {_CHAIN_COLS} from chain where root in (select root from chain group by root having count(*) >= {traverse.CHAIN})")
 def _(spark, d, g):
-    chains, small = _all_chains(spark, d)
-    return chains.join(small.select("root").distinct(), "root", "left_anti").select("root", "id", F.col("level").cast("long").alias("level"), F.col("pos").cast("long").alias("pos"))
+    chains = _all_chains(spark, d)
+    capped = chains.groupBy("root").count().filter(F.col("count") >= traverse.CHAIN).select("root")
+    return _chained(chains.join(capped, "root", "left_semi"), "root", "id")
 
 
-@query("impact_chain", _UP + "select id, cast(level as bigint) as level from chain where root = (select id from root) and (select count(*) from chain where root = (select id from root)) < 50", recursive=True)
+@query("impact_chain", _UP + f"select id, {_CHAIN_COLS} from chain where root = (select id from root)")
 def _(spark, d, g):
-    whole = traverse.impact(g, g.entities.filter(F.col("id") == _root(spark, d)))
-    return whole.filter(F.lit(whole.count() < 50)).select("id", F.col("level").cast("long").alias("level"))
-
-
-# The same over every root, capped chains included: which callers a capped chain keeps depends
-# on the order of the walk, so these have no SQL; the queries above are the part SQL can check.
-
-
-@query("impact_whole_chain")
-def _(spark, d, g):
-    whole = traverse.impact(g, g.entities.filter(F.col("id") == _root(spark, d)))
-    return whole.select("id", F.col("level").cast("long").alias("level"), F.col("pos").cast("long").alias("pos"))
+    return _chained(traverse.impact(g, g.nodes(_root(spark, d)).select("id")), "id")
 
 
 def _impact_part(name: str, sql: str, cols: list[str]):
-    @query(f"impact_{name}", _UP + sql, recursive=True)
-    def _(spark, d, g):
-        return traverse.impact_parts(g, _all_chains(spark, d)[1])[name].select(*cols)
-
-    @query(f"impact_whole_{name}")
+    @query(f"impact_{name}", _UP + sql)
     def _(spark, d, g):
-        return traverse.impact_parts(g, _all_chains(spark, d)[0])[name].select(*cols)
+        return traverse.impact_parts(g, _all_chains(spark, d))[name].select(*cols)
 
 
-_impact_part("controllers", "select p.root, e.id, e.name from part p join e using (id) where e.kind = 'controller'", ["root", "id", "name"])
-_impact_part("files", "select distinct p.root, e.source_file from part p join e using (id) where e.source_file <> ''", ["root", "source_file"])
-_impact_part("owners", "select distinct p.root, e.last_author from part p join e using (id) where e.last_author <> ''", ["root", "last_author"])
-_impact_part("recent", "select p.root, e.id, e.last_modified from part p join e using (id) where e.last_modified <> ''", ["root", "id", "last_modified"])
-_REACH = "select root, id, name from (select *, row_number() over (partition by root order by id) as n from (select distinct p.root, o.id, o.name from part p join r on r.src = p.id join e o on o.id = r.dst where r.type in ({}))) where n <= 30"
+_impact_part("controllers", "select p.root, e.id, e.name from chain p join e using (id) where e.kind = 'controller'", ["root", "id", "name"])
+_impact_part("files", "select distinct p.root, e.source_file from chain p join e using (id) where e.source_file <> ''", ["root", "source_file"])
+_impact_part("owners", "select distinct p.root, e.last_author from chain p join e using (id) where e.last_author <> ''", ["root", "last_author"])
+_impact_part("recent", "select p.root, e.id, e.last_modified from chain p join e using (id) where e.last_modified <> ''", ["root", "id", "last_modified"])
+_REACH = "select root, id, name from (select *, row_number() over (partition by root order by id) as n from (select distinct p.root, o.id, o.name from chain p join r on r.src = p.id join e o on o.id = r.dst where r.type in ({}))) where n <= 30"
 _impact_part("tests", _REACH.format("'tested_by'"), ["root", "id", "name"])
 _impact_part("resources", _REACH.format("'reconciles', 'creates'"), ["root", "id", "name"])
 

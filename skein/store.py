@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein import schema
-from skein.common import latest, table
+from skein.common import broadcast_if_small, cut, table
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -38,10 +38,14 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 @dataclass
 class Graph:
     """Entities and edges. Ids are unique: in tables of many repositories they begin with
-    the repository (``repo/kind:name``), so nothing joins across repositories."""
+    the repository (``repo/kind:name``), so nothing joins across repositories.
+
+    ``raw``: the rows behind them, where filters reach the files.
+    """
 
     entities: DataFrame
     edges: DataFrame
+    raw: tuple[DataFrame, DataFrame] | None = None
     spark: SparkSession = field(init=False)
 
     def __post_init__(self):
@@ -51,6 +55,18 @@ class Graph:
     def names(self) -> DataFrame:
         return self.entities.select("id", "name", "kind")
 
+    def nodes(self, *ids: str) -> DataFrame:
+        """The entities of some ids."""
+        if self.raw is None:
+            return self.entities.filter(F.col("id").isin(*ids))
+        return _qualified(self.raw[0].filter(_placed("id", ids)), ["id"])
+
+    def links(self, end: str, *ids: str) -> DataFrame:
+        """The edges that begin (``end`` 'src') or end ('dst') at some ids."""
+        if self.raw is None:
+            return self.edges.filter(F.col(end).isin(*ids))
+        return _qualified(self.raw[1].filter(_placed(end, ids)), ["id", "src", "dst"])
+
     def persist(self) -> Graph:
         """Keep entities, and edges clustered by source; both come back from the lineage if lost."""
         self.entities = self.entities.persist()
@@ -58,18 +74,64 @@ class Graph:
         return self
 
 
-def delivered(spark: SparkSession, folder: str) -> Graph:
-    """The graph of the delivered tables ``entities`` and ``relationships``.
+def _placed(column: str, ids: tuple[str, ...]) -> F.Column:
+    """The filter of qualified ids on the columns they are made of, which files can apply:
+    a repository may hold slashes, so an id is tried as cut at each of its own."""
+    either = F.lit(False)
+    for id_ in ids:
+        for at in (i for i, c in enumerate(id_) if c == "/"):
+            repo, local = id_[:at], id_[at + 1 :]
+            here = (F.col("repo") == repo) if repo else (F.col("repo").isNull() | (F.col("repo") == ""))
+            either = either | here & ((F.col(column) == local) if local else (F.col(column).isNull() | (F.col(column) == "")))
+    return either
+
+
+def _qualified(rows: DataFrame, columns: list[str]) -> DataFrame:
+    rows = normalise(rows)
+    if columns == ["id"]:
+        rows = rows.withColumn("local_id", F.col("id"))
+    return rows.withColumns({c: F.concat_ws("/", "repo", c) for c in columns})
 
-    Rows delivered again count once. Of several rows of one id in a repository the first by
-    (ord, ent_id) stands; so for edges. Ends of edges are qualified like the ids.
+
+def standing(rows: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
+    """The rows of a Parquet table that stand, with all columns but ``by``.
+
+    Rows delivered again (same ``key``) count once, the latest by ``by``; of several rows of
+    one id in a repository the first by (ord, key) stands. Of equal ones the first by place in
+    the files. Null keys, repositories and ids are values like any other; a null id equals ''.
+
+    Only key columns are read to decide, once: the rows that do *not* stand are few, they are
+    written to the shared folder as places in the files (hash of the file's path, row number),
+    and every later reading leaves them out, with its own filters and columns reaching the files.
     """
-    e = normalise(latest(table(spark, folder, "entities"), "ent_id"))
-    e = first_by(e.drop("loaded_at"), ["repo", "id"], ["ord", "ent_id"])
-    r = normalise(latest(table(spark, folder, "relationships"), "rel_id"))
-    r = first_by(r.drop("loaded_at"), ["repo", "id"], ["ord", "rel_id"])
-    q = lambda c: F.concat_ws("/", "repo", c)
-    return Graph(e.withColumns({"local_id": F.col("id"), "id": q("id")}), r.withColumns({"id": q("id"), "src": q("src"), "dst": q("dst")}))
+    place = {"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    rows = rows.withColumns(place)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    keys = rows.select("_file", "_row", F.col(key).alias("_key"), F.col(by).alias("_by"), text("repo").alias("repo"), text("id").alias("id"), "ord")
+    again = _repeated(keys, ["_key"])
+    best = again.groupBy("_key").agg(F.max_by(F.struct("_file", "_row"), F.struct("_by", F.bitwise_not("_file"), F.bitwise_not("_row"))).alias("w")).select("w._file", "w._row")
+    late = cut(again.join(best, ["_file", "_row"], "left_anti").select("_file", "_row"))
+    twice = _repeated(keys.join(broadcast_if_small(late), ["_file", "_row"], "left_anti"), ["repo", "id"])
+    best = twice.groupBy("repo", "id").agg(F.min_by(F.struct("_file", "_row"), F.struct("ord", "_key", "_file", "_row")).alias("w")).select("w._file", "w._row")
+    out = cut(late.unionByName(twice.join(best, ["_file", "_row"], "left_anti").select("_file", "_row")))
+    return rows.join(broadcast_if_small(out), ["_file", "_row"], "left_anti").drop("_file", "_row", by)
+
+
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys occur more than once, written."""
+    many = cut(rows.groupBy(*keys).count().filter("count > 1").select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]))
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{n}"))
+    return cut(rows.join(broadcast_if_small(many), same, "left_semi"))
+
+
+def delivered(spark: SparkSession, folder: str) -> Graph:
+    """The graph of the delivered tables ``entities`` and ``relationships``, of the rows that
+    stand (:func:`standing`). Ends of edges are qualified like the ids."""
+    e = standing(table(spark, folder, "entities"), "ent_id")
+    r = standing(table(spark, folder, "relationships"), "rel_id")
+    return Graph(_qualified(e, ["id"]), _qualified(r, ["id", "src", "dst"]), (e, r))
 
 
 def merged(entities: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -146,7 +146,7 @@ def test_impact_queries_over_capped_roots(spark, monkeypatch):
     for known in (plans._root, plans._all_chains):
         known.cache_clear()
     try:
-        got = {n: {tuple(r) for r in plans.QUERIES[f"impact_whole_{n}"](spark, "").collect()} for n in ("chain", "controllers", "files", "owners", "recent", "tests", "resources")}
+        got = {n: {tuple(r) for r in plans.QUERIES[f"impact_{n}"](spark, "").collect()} for n in ("chain", "controllers", "files", "owners", "recent", "tests", "resources")}
     finally:
         for known in (plans._root, plans._all_chains):
             known.cache_clear()
