@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +84,42 @@ def latest(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     best = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return best.select(key, *[F.col("_row")[c].alias(c) for c in rest])
 
+
+
+def with_places(df: DataFrame) -> DataFrame:
+    """A Parquet table with the place of every row: hash of the file's path, row number."""
+    return df.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys occur more than once, written. Null keys are keys like any other."""
+    many = cut(rows.groupBy(*keys).count().filter("count > 1").select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]))
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{n}"))
+    return cut(rows.join(broadcast_if_small(many), same, "left_semi"))
+
+
+def outdated(placed: DataFrame, key: str, by: str) -> DataFrame:
+    """(_file, _row), written: the rows of a table with places that are not the latest of their
+    key. Only the key columns are read; of equally late rows the first by place stands."""
+    again = repeated(placed.select("_file", "_row", F.col(key).alias("_key"), F.col(by).alias("_by")), ["_key"])
+    best = again.groupBy("_key").agg(F.max_by(F.struct("_file", "_row"), F.struct("_by", F.bitwise_not("_file"), F.bitwise_not("_row"))).alias("w"))
+    return cut(again.select("_file", "_row").join(best.select("w._file", "w._row"), ["_file", "_row"], "left_anti"))
+
+
+def without(placed: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of a table with places but those at the written ``places``."""
+    return placed.join(broadcast_if_small(places), ["_file", "_row"], "left_anti")
+
+
+def once(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
+    """One row per ``key`` of a Parquet table, the one with the greatest ``by``: rows delivered
+    again are few, so they are told by key columns alone and left out of the scan, and nothing
+    else is shuffled. Of other tables as :func:`latest`. A null key is a key like any other."""
+    try:
+        placed = with_places(df)
+        placed.schema  # noqa: B018 - tells whether rows have places
+    except AnalysisException:
+        return latest(df, key, by)
+    return without(placed, outdated(placed, key, by)).drop("_file", "_row")

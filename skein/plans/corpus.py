@@ -1,20 +1,16 @@
-"""Queries p4 and p5: snapshot changes and value frequencies."""
+"""Query p4: snapshot changes."""
 
 from __future__ import annotations
 
 from skein.common import table
-from skein.operators import snapshots, termfreq
+from skein.operators import snapshots
 
 
 def p4_found(spark, d):
     return snapshots.graph_changes(table(spark, d, "graph_meta"), table(spark, d, "entity_snapshots"), table(spark, d, "file_timestamps"))
 
 
-def p5_found(spark, d):
-    return termfreq.frequencies(table(spark, d, "entities"), "ent_id", ["imports", "literals", "calls"])
-
-
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p4_found": p4_found}
 
 _BAG = "list_sort(list_transform(coalesce({0}, []), lambda x: coalesce(x, '')))"
 _TIME = "coalesce(cast(epoch_us(try_cast({0} as timestamptz)) as varchar), {0}, '')"
@@ -37,17 +33,4 @@ select distinct coalesce(n.commit_sha, o.commit_sha) as commit_sha, coalesce(n.r
   case when o.h is null then 'added' when n.h is null then 'removed' else 'changed' end as change_kind
 from now n full join old o on n.pair = o.pair and n.record_kind = o.record_kind and n.record_key = o.record_key
 where n.h is distinct from o.h""",
-    "p5_found": """
-with once as (select ent_id, arg_max(imports, loaded_at) as imports, arg_max(literals, loaded_at) as literals, arg_max(calls, loaded_at) as calls
-              from entities group by ent_id),
-v as (select ent_id, 'imports' as field, unnest(imports) as x from once
-      union all select ent_id, 'literals', unnest(literals) from once
-      union all select ent_id, 'calls', unnest(calls) from once),
-t as (select ent_id, field, trim(x, chr(32) || chr(9) || chr(10)) as term from v),
-ok as (select * from t where term <> ''),
-tot as (select field, count(distinct ent_id) as n from ok group by field),
-c as (select field, term, count(*) as n_occ, count(distinct ent_id) as n_records from ok group by field, term)
-select c.field, term, n_occ, n_records,
-  case when n_records > 0.01 * n then 'common' when n_records < 3 then 'rare' else 'ok' end as mark
-from c join tot on c.field = tot.field""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein import schema
-from skein.common import broadcast_if_small, cut, table
+from skein.common import cut, outdated, repeated, table, with_places, without
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -104,26 +104,14 @@ def standing(rows: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     written to the shared folder as places in the files (hash of the file's path, row number),
     and every later reading leaves them out, with its own filters and columns reaching the files.
     """
-    place = {"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-    rows = rows.withColumns(place)
+    rows = with_places(rows)
+    late = outdated(rows, key, by)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    keys = rows.select("_file", "_row", F.col(key).alias("_key"), F.col(by).alias("_by"), text("repo").alias("repo"), text("id").alias("id"), "ord")
-    again = _repeated(keys, ["_key"])
-    best = again.groupBy("_key").agg(F.max_by(F.struct("_file", "_row"), F.struct("_by", F.bitwise_not("_file"), F.bitwise_not("_row"))).alias("w")).select("w._file", "w._row")
-    late = cut(again.join(best, ["_file", "_row"], "left_anti").select("_file", "_row"))
-    twice = _repeated(keys.join(broadcast_if_small(late), ["_file", "_row"], "left_anti"), ["repo", "id"])
+    keys = without(rows, late).select("_file", "_row", F.col(key).alias("_key"), text("repo").alias("repo"), text("id").alias("id"), "ord")
+    twice = repeated(keys, ["repo", "id"])
     best = twice.groupBy("repo", "id").agg(F.min_by(F.struct("_file", "_row"), F.struct("ord", "_key", "_file", "_row")).alias("w")).select("w._file", "w._row")
-    out = cut(late.unionByName(twice.join(best, ["_file", "_row"], "left_anti").select("_file", "_row")))
-    return rows.join(broadcast_if_small(out), ["_file", "_row"], "left_anti").drop("_file", "_row", by)
-
-
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur more than once, written."""
-    many = cut(rows.groupBy(*keys).count().filter("count > 1").select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]))
-    same = F.lit(True)
-    for n, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_{n}"))
-    return cut(rows.join(broadcast_if_small(many), same, "left_semi"))
+    further = twice.join(best, ["_file", "_row"], "left_anti").select("_file", "_row")
+    return without(rows, cut(late.unionByName(further))).drop("_file", "_row", by)
 
 
 def delivered(spark: SparkSession, folder: str) -> Graph:

@@ -1,9 +1,8 @@
-"""Snapshot changes and value frequencies against brute force, and their edge cases."""
+"""Snapshot changes against brute force, and their edge cases."""
 
 import random
-from collections import Counter, defaultdict
 
-from skein.operators import snapshots, termfreq
+from skein.operators import snapshots
 
 META = "graph_id long, repo string, branch string, commit_sha string, generated_at string"
 ENT = "graph_id long, ord long, id string, name string, calls array<string>, last_modified string, change_count int"
@@ -63,39 +62,3 @@ def test_changes_against_brute_force(spark):
 def test_changes_of_empty_tables(spark):
     assert found(spark, [], [], []) == set()
     assert found(spark, [(1, "r", "b", None, None)], [(None, 1, None, None, None, None, None)], []) == set()
-
-
-E = "ent_id long, imports array<string>, calls array<string>, loaded_at timestamp, mark string"
-
-
-def counted(spark, rows, limit=termfreq.COUNTERS, **more):
-    out = termfreq.frequencies(spark.createDataFrame(rows, E).withColumn("loaded_at", __import__("pyspark.sql.functions", fromlist=["x"]).current_timestamp()), "ent_id", ["imports", "calls"], **more)
-    return {(r.field, r.term): (r.n_occ, r.n_records, r.mark) for r in out.collect()}
-
-
-def test_frequencies_against_brute_force(spark):
-    rng = random.Random(1)
-    rows = [(i, [rng.choice(["a", " a\t", "b\n", "", None, "  ", f"t{i % 37}", "é" * 300]) for _ in range(rng.randrange(6))] if i % 9 else None, ["hot"], None, "x") for i in range(400)]
-    rows += rows[:50]  # delivered again
-    occ, rec, all_ = Counter(), defaultdict(set), defaultdict(set)
-    for i, imports, calls, *_ in rows[:400]:
-        for field, values in (("imports", imports), ("calls", calls)):
-            for v in values or []:
-                if v is not None and v.strip(" \t\n"):
-                    t = v.strip(" \t\n")
-                    occ[field, t] += 1
-                    rec[field, t].add(i)
-                    all_[field].add(i)
-    want = {k: (n, len(rec[k]), "common" if len(rec[k]) > 0.05 * len(all_[k[0]]) else "rare" if len(rec[k]) < 3 else "ok") for k, n in occ.items()}
-    assert counted(spark, rows, common=0.05) == want
-
-
-def test_frequencies_edges(spark):
-    assert counted(spark, []) == {}
-    assert counted(spark, [(None, ["x"], [], None, None), (1, ["x", "X"], None, None, None)])["imports", "x"] == (2, 2, "common")
-
-
-def test_counters_are_passed_on(spark):
-    rows = spark.createDataFrame([(i, [f"t{i}", "hot", "hot"]) for i in range(500)], "r long, a array<string>")
-    got = {(x.term): (x.n_occ, x.n_records) for x in termfreq.term_counts(rows, "r", ["a"], limit=10).collect()}
-    assert got["hot"] == (1000, 500) and got[None] == (1500, 500) and got["t7"] == (1, 1)
