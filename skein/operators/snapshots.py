@@ -12,6 +12,7 @@ spread over all tasks.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,15 +59,16 @@ def _normal(field: T.StructField, times: set[str]) -> list[Column]:
 
 
 def digests(rows: DataFrame, key: str, times: set[str] = frozenset(), ignore: set[str] = frozenset(), kind: str = "row") -> DataFrame:
-    """(graph_id, record_kind, record_key, spot, d1, d2): the row digests of every snapshot.
+    """(graph_id, record_kind, record_key, spot, twin, d1, d2): the row digests of every snapshot.
 
-    ``spot`` is the hash of the key that places the row in the tree. A null key equals ''.
-    Arrays are compared as bags, ``times`` as instants (as text where they are none).
+    ``spot`` and ``twin`` are the 128-bit hash of the key; its first bits place the row in the
+    tree. A null key equals ''. Arrays are compared as bags, ``times`` as instants (as text
+    where they are none).
     """
     parts = [p for f in rows.schema.fields if f.name not in {"graph_id", key, *ignore} for p in _normal(f, set(times))]
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     return rows.select(
-        F.col("graph_id"), F.lit(kind).alias("record_kind"), name.alias("record_key"), F.xxhash64(F.lit(kind), name).alias("spot"),
+        F.col("graph_id"), F.lit(kind).alias("record_kind"), name.alias("record_key"), F.xxhash64(F.lit(kind), name).alias("spot"), F.xxhash64(F.lit(41), F.lit(kind), name).alias("twin"),
         F.xxhash64(F.lit(11), name, *parts).alias("d1"), F.xxhash64(F.lit(97), name, *parts).alias("d2"),
     )
 
@@ -95,46 +97,53 @@ def changes(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     several different rows is compared as their set. A snapshot without rows is a valid,
     empty snapshot. Rows of unknown snapshots are ignored.
 
-    The compact rows (key, place, digest) and the leaf digests are each written once to the
-    shared folder, since the descent reads them several times.
+    Only hashes are shuffled, once, by leaf: all versions of a row lie in one partition, where
+    repeated rows are dropped, leaf digests made and, of leaves that differ, rows compared.
+    The keys' text is read again for the rows that changed.
     """
-    key = [c for c in rows.columns if c not in ("graph_id", "spot", "d1", "d2")]
+    spark = rows.sparkSession
+    key = [c for c in rows.columns if c not in ("graph_id", "spot", "twin", "d1", "d2")]
     pairs = snapshots.filter("prev_id is not null").select("chain_id", F.col("graph_id").alias("pair"), "prev_id")
     sides = pairs.select("chain_id", "pair", F.col("pair").alias("graph_id"), F.lit(1).alias("side")).union(
         pairs.select("chain_id", "pair", "prev_id", F.lit(2))
     )
-    rows = cut(rows.distinct())
     # leaves of a chain: a power of two, by its largest snapshot
     sizes = rows.groupBy("graph_id").count().join(sides.select("graph_id", "chain_id").distinct(), "graph_id")
     most = sizes.withColumn("n", F.max("count").over(Window.partitionBy("chain_id")))
     bits = F.least(F.lit(MAX_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF_ROWS)))).cast("int")
-    placed = broadcast_if_small(most.select("graph_id", bits.alias("bits")))
+    placed = cut(most.select("graph_id", "chain_id", bits.alias("bits")))
     # a leaf is the first `bits` bits of the key's hash, its parent the first half of them
-    at_leaf = rows.join(placed, "graph_id").withColumn("node", F.expr("case when bits = 0 then 0L else shiftrightunsigned(spot, 64 - bits) end"))
-    at_leaf = at_leaf.withColumn("up", F.expr("shiftrightunsigned(node, bits - bits div 2)"))
+    leaf = F.expr("case when bits = 0 then 0 else cast(shiftrightunsigned(spot, 64 - bits) as int) end")
+    thin = rows.select("graph_id", "spot", "twin", "d1", "d2").join(broadcast_if_small(placed), "graph_id")
+    thin = thin.select("chain_id", leaf.alias("node"), "graph_id", "spot", "twin", "d1", "d2")
+    thin = thin.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chain_id", "node").distinct().persist(StorageLevel.MEMORY_AND_DISK)
 
-    leaves = cut(at_leaf.groupBy("graph_id", "up", "node").agg(*_xor()))
+    leaves = thin.groupBy("chain_id", "node", "graph_id").agg(*_xor()).drop("chain_id").join(broadcast_if_small(placed.drop("chain_id")), "graph_id")
+    leaves = cut(leaves.withColumn("up", F.expr("shiftrightunsigned(node, bits - bits div 2)")).drop("bits"))
     inner = _lift(leaves, "graph_id", "up")
     root = _lift(inner.withColumnRenamed("up", "node"), "graph_id").withColumn("root", F.lit(0))
 
-    sides = sides.drop("chain_id")
-    top = _differing(root, sides, ["graph_id"], "root").select("pair")
-    active = sides.join(top, "pair", "left_semi")
+    tops = sides.drop("chain_id")
+    top = _differing(root, tops, ["graph_id"], "root").select("pair")
+    active = tops.join(top, "pair", "left_semi")
     mid = _differing(inner, active, ["graph_id"], "up").select("pair", "up")
     low = _differing(leaves, active.join(mid, "pair"), ["graph_id", "up"], "node").select("pair", "node")
     active = broadcast_if_small(cut(sides.join(low, "pair")))
 
-    seen = at_leaf.join(active, ["graph_id", "node"]).groupBy("pair", *key).agg(
-        *_xor(), F.max(F.col("side") == 1).alias("now"), F.max(F.col("side") == 2).alias("before")
+    seen = thin.join(active, ["chain_id", "node", "graph_id"]).groupBy("chain_id", "node", "pair", "spot", "twin").agg(
+        *_xor(), F.max(F.when(F.col("side") == 1, F.col("graph_id"))).alias("now"), F.max(F.when(F.col("side") == 2, F.col("graph_id"))).alias("before")
     )
-    kind = F.when(~F.col("before"), "added").when(~F.col("now"), "removed").otherwise("changed")
-    odd = seen.filter(~F.col("now") | ~F.col("before") | (F.col("d1") != 0) | (F.col("d2") != 0))
-    return odd.select(F.col("pair").alias("graph_id"), *key, kind.alias("change_kind"))
+    kind = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
+    odd = seen.filter(F.col("now").isNull() | F.col("before").isNull() | (F.col("d1") != 0) | (F.col("d2") != 0))
+    odd = cut(odd.select("pair", F.coalesce("now", "before").alias("graph_id"), "spot", "twin", kind.alias("change_kind")))
+    thin.unpersist()
+    named = rows.select("graph_id", "spot", "twin", *key).join(broadcast_if_small(odd), ["graph_id", "spot", "twin"])
+    return named.select(F.col("pair").alias("graph_id"), *key, "change_kind").distinct()
 
 
 def graph_changes(meta: DataFrame, entities: DataFrame, files: DataFrame) -> DataFrame:
     """Changes of entities and file timestamps: commit_sha, record_kind, record_key, change_kind."""
     order = cut(chain(meta))
     rows = digests(entities, "id", {"last_modified"}, {"ord"}, kind="entity").union(digests(files, "path", {"modified"}, kind="file"))
-    out = changes(rows, order).join(order.select("graph_id", "commit_sha"), "graph_id")
+    out = changes(rows, order).join(broadcast_if_small(order.select("graph_id", "commit_sha")), "graph_id")
     return out.select("commit_sha", "record_kind", "record_key", "change_kind").distinct()
