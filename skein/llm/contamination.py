@@ -1,13 +1,13 @@
 """Evaluation items standing in corpus documents, whole or in part.
 
 A prefix-filtered set join over word shingles. The items are the stated query set: their
-shingles go to all tasks in blocks of a fixed size, and every document is read once, whole.
-A document is reduced to the ids of the words that items use; the shingles it shares with
-items are looked up there. The shingles' document frequencies, counted over the whole
-corpus, order them by rarity; of every item-sized window that a leak must fill, only the
-rarest shingles have to be joined, since a leak that misses them all would have more faults
-than allowed. Pairs that share one are held against the bounds on number, length and
-position and then aligned word by word.
+shingles go to all tasks in blocks of a fixed size, and every document is read whole, twice.
+The first pass only counts in how many documents each shingle of the items stands, which
+orders them by rarity; nothing of a document is written. Of every item-sized window that a
+leak must fill, only the rarest shingles have to be joined, since a leak that misses them all
+would have more faults than allowed. The second pass looks these up in every document; pairs
+that share one are held against the bounds on number, length and position, and those left are
+aligned word by word, exactly.
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.common import cut
-
+#: Words of a shingle, fewer where an item is so short that a leak may have no longer run.
 WIDTH = 5
 #: At most one word in so many is replaced or missing; the least part of an item.
 FAULT = 8
 PART = 3
-#: An opening that so many items with different rests share is an instruction.
+#: An opening that so many different items share is an instruction.
 SHARED = 3
 #: Words of items joined at once.
 BLOCK_WORDS = 1_000_000
@@ -55,25 +54,45 @@ def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower())
 
 
+#: Where an opening may end: after a sentence or a line.
+_STOP = re.compile(r"[.:!?][\"')\]]*(?=\s|$)|[。！？]|\n")
+
+
+def openings(text: str | None) -> list[tuple[str, ...]]:
+    """The words of a text up to the end of each of its sentences and lines."""
+    out = [tuple(words_of(text[: m.end()])) for m in _STOP.finditer(text or "")]
+    return [w for w in dict.fromkeys(out) if w]
+
+
 def bodies(items: list[tuple[int, str | None]]) -> dict[tuple[str, ...], list[int]]:
     """Items by their words, without the instructions that open several items.
 
-    Items without words, or with nothing but such an instruction, are left out. Items of the same words are one, with all their ids.
+    An instruction is an opening of whole sentences or lines, of any length, that the openings
+    of ``SHARED`` items with different words begin with. Items without words, or with nothing
+    but such an instruction, are left out. Items of the same words are one, with all their ids.
     """
-    lists = {i: words_of(t) for i, t in items}
-    rests: dict[tuple, set] = defaultdict(set)
-    for w in {tuple(w) for w in lists.values()}:
-        for k in range(4, min(len(w), 60)):
-            if len(rests[w[:k]]) < SHARED:
-                rests[w[:k]].add(w[k:])
+    lists = {i: tuple(words_of(t)) for i, t in items}
+    begin = {}  # by words: openings, of any of the texts with these words
+    for i, t in items:
+        begin.setdefault(lists[i], set()).update(openings(t))
+    shared = Counter(o for some in begin.values() for o in some)
     out = defaultdict(list)
     for i, w in lists.items():
-        k = next((k for k in range(min(len(w), 59), 3, -1) if len(rests[tuple(w[:k])]) >= SHARED), 0)
+        k = max((len(o) for o in begin[w] if shared[o] >= SHARED), default=0)
         if w[k:]:
-            out[tuple(w[k:])].append(i)
+            out[w[k:]].append(i)
     return dict(out)
 
 
+def sizes(need: int, n: int) -> list[int]:
+    """The window sizes of an item of ``n`` words that must be looked at.
+
+    Of a longer passage with few enough faults a part is one of these: one of twice the least
+    size has a half that will do, and between two multiples of ``FAULT`` a word can be cut off.
+    """
+    return [need, *range((need // FAULT + 1) * FAULT, min(2 * need, n + 1), FAULT)] if need <= n else []
+
+
 class Items:
     """A block of items as arrays: words, shingles, and where the shingles stand."""
 
@@ -81,9 +100,10 @@ class Items:
         self.ids = [i for _, i in block]
         self.word_id: dict[str, int] = {}
         self.words = [np.array([self.word_id.setdefault(w, len(self.word_id) + 1) for w in b], np.int64) for b, _ in block]
-        self.need = [max(math.ceil(len(w) / PART), min(len(w), WIDTH)) for w in self.words]
-        # a shingle is as wide as to survive the faults allowed in the least passage
-        self.width = [max(1, min(WIDTH, need // (need // FAULT + 1))) for need in self.need]
+        self.need = [math.ceil(len(w) / PART) for w in self.words]
+        self.sizes = [sizes(need, len(w)) for need, w in zip(self.need, self.words)]
+        # a window of w words with f faults has an equal run of (w - f) / (f + 1) words
+        self.width = [min(WIDTH, *(math.ceil((w - w // FAULT) / (w // FAULT + 1)) for w in some)) for some in self.sizes]
         base = len(self.word_id) + 1
         if base**WIDTH >= 1 << 62:
             raise ValueError("too many different words in a block of items")
@@ -113,21 +133,21 @@ class Items:
         return np.concatenate(shingles), np.concatenate(at)
 
     def prefix(self, df: dict[int, int]) -> np.ndarray:
-        """Which (shingle, item) pairs must be joined: by item, its necessary shingles.
+        """Which shingles must be joined: of every window a leak may fill, its necessary ones.
 
-        A window of `need` words has m shingles, and a leak keeps all but those that faults
+        A window of w words has m shingles, and a leak keeps all but those that its faults
         destroy, k at least; so it holds one of the m - k + 1 rarest.
         """
         keep = np.zeros(len(self.code), bool)
-        for w, need, k in zip(self.words, self.need, self.width):
-            c = codes(w, k, self.base) * (WIDTH + 1) + k
-            s = np.searchsorted(self.code, c)
-            m = need - k + 1
-            kept = max(1, m - k * (need // FAULT))
-            order = [(df.get(int(x), 0), int(x)) for x in s]
-            for a in range(len(w) - need + 1):
-                for _, x in sorted(order[a : a + m])[: m - kept + 1]:
-                    keep[x] = True
+        for w, some, k in zip(self.words, self.sizes, self.width):
+            s = np.searchsorted(self.code, codes(w, k, self.base) * (WIDTH + 1) + k).tolist()
+            order = [(df.get(x, 0), x) for x in s]
+            for size in some:
+                m = size - k + 1
+                first = min(m, k * (size // FAULT) + 1)
+                for a in range(len(w) - size + 1):
+                    for _, x in sorted(order[a : a + m])[:first]:
+                        keep[x] = True
         return keep
 
     def leaks(self, ids: np.ndarray, shingles: np.ndarray, at: np.ndarray, keep: np.ndarray) -> list[int]:
@@ -135,73 +155,65 @@ class Items:
         candidates = {n for s in np.unique(shingles[keep[shingles]]).tolist() for n, _ in self.of[s]}
         if not candidates:
             return []
-        hits = defaultdict(list)
+        hits = defaultdict(set)
         for s, p in zip(shingles.tolist(), at.tolist()):
             for n, k in self.of[s]:
                 if n in candidates:
-                    hits[n].append((p, k))
-        return [n for n, h in hits.items() if self._stands(n, ids, h)]
+                    hits[n].add((p, k))
+        return [n for n, h in hits.items() if self._stands(n, ids, sorted(h))]
 
     def _stands(self, n: int, ids: np.ndarray, hits: list[tuple[int, int]]) -> bool:
         item, need, width = self.words[n], self.need[n], self.width[n]
-        m = need - width + 1
-        if len(hits) < max(1, m - width * (need // FAULT) - width):  # fewer than any leak has
+        last: dict[int, tuple[int, int]] = {}  # diagonal: first and last place of its equal run
+        for p, k in hits:
+            first, end = last.get(p - k, (p, p))
+            first = p if p > end + 1 else first
+            last[p - k] = first, p
+            if p - first + width >= need:  # a run without faults is long enough
+                return True
+        # fewer shingles of the item than any leak keeps
+        least = min(max(1, w - width + 1 - width * (w // FAULT)) for w in self.sizes[n])
+        if len({k for _, k in hits}) < least:
             return False
-        runs = []  # maximal equal runs: (start in document, start in item, length)
-        last: dict[int, tuple[int, int]] = {}  # diagonal: run number and its end in the document
-        for p, k in sorted(set(hits)):
-            d = p - k
-            if d in last and last[d][1] >= p:
-                r = last[d][0]
-                runs[r][2] = p + width - runs[r][0]
+        # a passage with a shingle at place k of the item lies at most so far around it
+        spans: list[list[int]] = []
+        for a in sorted({max(0, p - k) for p, k in hits}):
+            b = min(len(ids), a + len(item))
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = b
             else:
-                r = len(runs)
-                runs.append([p, k, width])
-            last[d] = (r, p + width)
-        runs.sort()
-        # chains of runs in the order of both; each ends with the best state: item start, faults
-        best: list[tuple[int, int]] = []
-        for j, (p, k, size) in enumerate(runs):
-            states = [(k, 0)]
-            for i in range(j - 1, -1, -1):
-                q, h, s = runs[i]
-                gap_d, gap_i = p - (q + s), k - (h + s)
-                if gap_d > len(item) // PART + WIDTH:
-                    break
-                if gap_d < -width or gap_i < -width:
-                    continue
-                cut_ = max(0, -gap_d, -gap_i)  # overlapping runs share the border words
-                gap_d, gap_i = gap_d + cut_, gap_i + cut_
-                if gap_d > gap_i + 4 + gap_i // 2 or gap_i > need // 2:
-                    continue
-                same = _common(ids[q + s : q + s + gap_d], item[h + s : h + s + gap_i]) if gap_i and gap_d else 0
-                start, faults = best[i]
-                states.append((start, faults + gap_i - same))
-            ok = [(a, f) for a, f in states if f * FAULT <= (k + size - a) + FAULT]
-            best.append(min(ok or [(k, 0)], key=lambda x: (x[0] + 4 * x[1], x[0])))
-            a, f = best[-1]
-            a -= self._more(ids[:p][::-1], item[:a][::-1]) if a == k else 0
-            b = k + size + self._more(ids[p + size :], item[k + size :])
-            if b - a + (a > 0) + (b < len(item)) >= need and f * FAULT <= (b - a) + FAULT:
-                return True
-        return False
+                spans.append([a, b])
+        return any(aligned(ids[a:b], item, need) for a, b in spans)
 
-    @staticmethod
-    def _more(doc: np.ndarray, item: np.ndarray) -> int:
-        """Words by which a passage goes on beyond a run, past one replaced word."""
-        n = min(len(doc), len(item), WIDTH)
-        same = (doc[:n] == item[:n]).tolist()
-        return max((i + 1 for i in range(n) if same[i] and sum(not x for x in same[: i + 1]) <= 1), default=0)
 
+def aligned(doc: np.ndarray, item: np.ndarray, need: int) -> bool:
+    """Whether a passage of ``doc`` is a window of at least ``need`` words of the item, of which
+    at most one in ``FAULT`` is replaced by another word or missing.
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short runs."""
-    a, row = a.tolist(), [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b.tolist(), 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    Exact, over all alignments: ``first[f, p]`` is the least item word at which a window may
+    begin that ends with the present item word, has f faults, and whose passage ends before p.
+    """
+    n, most = len(item), len(item) // FAULT
+    there = np.isin(item, doc)
+    told = np.concatenate([[0], np.cumsum(there)])
+    if all((told[w:] - told[:-w]).max(initial=0) < w - w // FAULT for w in sizes(need, n)):
+        return False
+    none = n + 1
+    first = np.full((most + 1, len(doc) + 1), none, np.int32)
+    for k in range(n):
+        equal = doc == item[k]
+        after = np.full_like(first, none)
+        after[:, 1:][:, equal] = first[:, :-1][:, equal]
+        after[0, 1:][equal] = np.minimum(after[0, 1:][equal], k)
+        np.minimum(after[1:], first[:-1], out=after[1:])  # a word missing
+        np.minimum(after[1:, 1:], first[:-1, :-1], out=after[1:, 1:])  # a word replaced
+        first = after
+        size = k + 1 - first.min(axis=1)  # longest window by faults
+        edge = np.maximum(0, need - size)  # words at its ends that may be faults themselves
+        faults = np.arange(most + 1)
+        if ((size > 0) & (FAULT * (faults + edge) <= size + edge)).any():
+            return True
+    return False
 
 
 def codes(ids: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -218,33 +230,40 @@ def codes(ids: np.ndarray, width: int, base: int) -> np.ndarray:
     return out
 
 
-_DOC = "doc_id long, words array<int>, shingles array<int>, places array<int>"
+def _met(items: Items, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, word ids, shingles, their places) of the texts that hold shingles of items."""
+    get = items.word_id.get
+    lists = [words_of(t) for t in texts]
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    ends = np.cumsum(lens + 1)  # a border between documents: no shingle crosses it
+    ids = np.fromiter((g for t in lists for g in (*(get(w, 0) for w in t), 0)), np.int64, int(ends[-1]))
+    s, at = items.find(ids)
+    doc = np.searchsorted(ends, at, "right")
+    order = np.lexsort((at, doc))
+    s, at, doc = s[order], at[order], doc[order]
+    for d in np.unique(doc).tolist():
+        a, b = np.searchsorted(doc, [d, d + 1])
+        start = int(ends[d] - lens[d] - 1)
+        yield d, ids[start : ends[d] - 1], s[a:b], at[a:b] - start
+
+
+def _runs(column: pa.Array, size: int = 256) -> Iterator[tuple[int, list]]:
+    for i in range(0, len(column), size):
+        yield i, column.slice(i, size).to_pylist()
+
 
+def _counts(block):
+    """Partial counts of documents by shingle, one batch a task."""
 
-def _shared(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
-        get = items.word_id.get
+        df = np.zeros(len(items.code), np.int64)
         for batch in batches:
-            out = ([], [], [], [])
-            keys = batch.column(0).to_pylist()
-            for i in range(0, batch.num_rows, 256):
-                texts = [words_of(t) for t in batch.column(1).slice(i, 256).to_pylist()]
-                lens = np.fromiter(map(len, texts), np.int64, len(texts))
-                ends = np.cumsum(lens + 1)  # a border between documents: no shingle crosses it
-                ids = np.fromiter((g for t in texts for g in (*(get(w, 0) for w in t), 0)), np.int64, int(ends[-1]))
-                s, at = items.find(ids)
-                doc = np.searchsorted(ends, at, "right")
-                order = np.lexsort((at, doc))
-                s, at, doc = s[order], at[order], doc[order]
-                for d in np.unique(doc).tolist():
-                    a, b = np.searchsorted(doc, [d, d + 1])
-                    start = int(ends[d] - lens[d] - 1)
-                    for column, x in zip(out, (keys[i + d], ids[start : ends[d] - 1].astype(np.int32), s[a:b].astype(np.int32), (at[a:b] - start).astype(np.int32))):
-                        column.append(x)
-            if out[0]:
-                kinds = (pa.int64(), *[pa.list_(pa.int32())] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "words", "shingles", "places"])
+            for _, texts in _runs(batch.column(0)):
+                for _, _, shingles, _ in _met(items, texts):
+                    df[np.unique(shingles)] += 1
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(df[held], pa.int64())], names=["s", "n"])
 
     return run
 
@@ -254,11 +273,12 @@ def _verify(block, keep):
         items, wanted = block.value, keep.value
         for batch in batches:
             docs, found = [], []
-            for d, w, s, p in zip(*(c.to_pylist() for c in batch.columns)):
-                for n in items.leaks(np.array(w, np.int64), np.array(s, np.int64), np.array(p, np.int64), wanted):
-                    for i in items.ids[n]:
-                        docs.append(d)
-                        found.append(i)
+            keys = batch.column(0)
+            for i, texts in _runs(batch.column(1)):
+                for d, ids, shingles, at in _met(items, texts):
+                    for n in items.leaks(ids, shingles, at, wanted):
+                        found += items.ids[n]
+                        docs += [keys[i + d].as_py()] * len(items.ids[n])
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
 
@@ -267,7 +287,7 @@ def _verify(block, keep):
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of the documents that contain at least a third of an item's words as
-    one passage, with at most one word in eight replaced or missing.
+    one passage, with at most one word in eight of the passage replaced or missing.
 
     Null and blank texts and items hold no words and are in no row. Items of the same words
     are all reported. Items are taken in blocks of ``BLOCK_WORDS`` words, each one broadcast.
@@ -288,11 +308,10 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
             continue
         data = Items(block)
         block = spark.sparkContext.broadcast(data)
-        shared = cut(texts.mapInArrow(_shared(block), _DOC))
-        counted = shared.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").count()
+        counted = texts.select("text").mapInArrow(_counts(block), "s long, n long").groupBy("s").agg(F.sum("n"))
         df = {r[0]: r[1] for r in counted.toLocalIterator()}  # at most the shingles of a block
         keep = spark.sparkContext.broadcast(data.prefix(df))
-        part = shared.mapInArrow(_verify(block, keep), "doc_id long, item_id long")
+        part = texts.mapInArrow(_verify(block, keep), "doc_id long, item_id long")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long")

@@ -110,7 +110,69 @@ def test_leaks_of_empty_tables(spark):
 
 
 def test_short_items(spark):
-    assert leaks(spark, [(1, "x one two three y"), (2, "one x two")], [(1, "One, two: three!")]) == [(1, 1)]
+    assert leaks(spark, [(1, "x one two three y"), (2, "one x two"), (3, "x")], [(1, "One, two: three!")]) == [(1, 1), (2, 1)]  # a third is one word
+    assert leaks(spark, [(1, "x one two three y"), (2, "one x two")], [(1, "One, two: three! Four.")]) == [(1, 1)]
+
+
+def test_leaks_to_the_letter(spark):
+    """A third of the words, one fault in eight of the passage, neither more nor less."""
+    rng = random.Random(11)
+    w = [[f"w{i}x{k}" for k in range(30)] for i in range(6)]
+    other = lambda n: " ".join(passage(rng, n))
+    items = [(i, " ".join(x[:9] if i == 0 else x)) for i, x in enumerate(w)]
+    put = lambda x, *at: ["zzz" if k in at else y for k, y in enumerate(x)]
+    docs = [
+        (1, other(9) + " " + " ".join(w[0][2:5]) + " " + other(9)), (2, other(9) + " " + " ".join(w[0][2:4]) + " " + other(9)),  # three and two of nine words
+        (3, other(9) + " " + " ".join(w[1][4:12]) + " " + other(9)), (4, other(9) + " " + " ".join(w[1][4:13]) + " " + other(9)), (5, " ".join(w[1][20:])),  # eight of thirty, nine and a fault at the end, ten
+        (6, " ".join(put(w[2][:10], 3, 6))), (7, " ".join(put(w[2][:16], 3, 12))), (8, " ".join(put(w[2][:16], 2, 7, 12))),  # two faults in ten, two and three in sixteen
+        (9, " ".join(w[3][:5] + ["zzz"] + w[3][5:10])), (10, " ".join(w[3][:5] + w[3][6:12])),  # a word between is no fault that is allowed, a missing one is
+    ]
+    assert leaks(spark, docs, items) == [(1, 0), (4, 1), (5, 1), (7, 2), (10, 3)]
+
+
+def stands(doc, item):
+    """Brute force: every window of the item at every place of the document."""
+    need = -(-len(item) // 3)
+    for a in range(len(item)):
+        for b in range(a + need, len(item) + 1):
+            for p in range(len(doc) + 1):
+                row = {p: 0}  # end of the passage: faults
+                for x in item[a:b]:
+                    after = {}
+                    for q, f in row.items():
+                        after[q] = min(after.get(q, 99), f + 1)
+                        if q < len(doc):
+                            after[q + 1] = min(after.get(q + 1, 99), f + (doc[q] != x))
+                    row = after
+                if 8 * min(row.values()) <= b - a:
+                    return True
+    return False
+
+
+def test_leaks_as_brute_force(spark):
+    rng = random.Random(5)
+    few = [f"v{i}" for i in range(14)]
+    items, docs = {}, {}
+    for i in range(12):
+        items[i] = [rng.choice(few) for _ in range(rng.randrange(1, 30))]
+    for d in range(50):
+        w = items[rng.randrange(12)]
+        a = rng.randrange(len(w))
+        part = w[a : a + rng.randrange(1, 26)]
+        docs[d] = [rng.choice(few) for _ in range(rng.randrange(4))]
+        docs[d] += [y for y in (rng.choice(few) if rng.random() < 0.09 else x for x in part) if rng.random() > 0.05] + [rng.choice(few) for _ in range(rng.randrange(4))]
+    want = sorted((d, i) for d, x in docs.items() for i, w in items.items() if stands(x, w))
+    assert leaks(spark, [(d, " ".join(x)) for d, x in docs.items()], [(i, " ".join(w)) for i, w in items.items()]) == want and len(want) > 40
+
+
+def test_instructions_of_any_length():
+    rng = random.Random(3)
+    short, long = "Translate:", " ".join(passage(rng, 80)) + "."
+    rest = [passage(rng, 12) for _ in range(9)]
+    rows = [(i, short + " " + " ".join(rest[i])) for i in range(3)] + [(i, long + "\n" + " ".join(rest[i])) for i in range(3, 6)]
+    rows += [(i, "the " + " ".join(rest[i])) for i in range(6, 9)]  # a word that items begin with is no instruction
+    got = {i[0]: w for w, i in contamination.bodies(rows).items()}
+    assert got == {i: tuple(w if i < 6 else ["the", *w]) for i, w in enumerate(rest)}
 
 
 def test_blocks_of_items(spark, monkeypatch):
