@@ -19,6 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.common import once
 from skein.llm.trigram import Matcher
 
 MASK = "[REDACTED]"
@@ -187,9 +188,12 @@ def find_secrets(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     """(tab, row_id, field, pos, rules, redacted) of every value that holds a secret.
 
     ``pos`` is the 0-based place in the array, -1 for a snippet. Null rows, arrays, elements
-    and empty texts hold none. Rows delivered again give one finding each. Values are scanned
-    whole, however long.
+    and empty texts hold none. Of rows delivered again the latest by ``loaded_at`` counts, so
+    a secret a later delivery no longer has isn't reported; rows of a null id are one. Values
+    are scanned whole, however long.
     """
+    entities = once(entities.select("ent_id", "literals", "properties", "loaded_at"), "ent_id")
+    relationships = once(relationships.select("rel_id", "ev_snippet", "loaded_at"), "rel_id")
     parts = [
         entities.select(F.lit("entities").alias("tab"), F.col("ent_id").cast("long").alias("row_id"), F.lit(f).alias("field"), F.col(f).cast("array<string>").alias("items"))
         .filter("size(items) > 0")
@@ -199,5 +203,4 @@ def find_secrets(entities: DataFrame, relationships: DataFrame) -> DataFrame:
         relationships.filter("ev_snippet is not null").select(F.lit("relationships").alias("tab"), F.col("rel_id").cast("long").alias("row_id"), F.lit("ev_snippet").alias("field"), F.array("ev_snippet").alias("items"))
     )
     values = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    hits = values.mapInArrow(_scan, "tab string, row_id long, field string, pos long, rules string, redacted string")
-    return hits.groupBy("tab", "row_id", "field", "pos").agg(F.min("rules").alias("rules"), F.min("redacted").alias("redacted"))
+    return values.mapInArrow(_scan, "tab string, row_id long, field string, pos long, rules string, redacted string")
