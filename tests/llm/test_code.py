@@ -227,10 +227,12 @@ def test_provenance(spark):
     data = "package a\n\nvar t = []byte{\n" + "".join("\t" + " ".join(f"0x{rng.randrange(256):02x}," for _ in range(12)) + "\n" for _ in range(30)) + "}\n"
     mini = "".join(f"function {c}{i}(a,b){{return a+b*{i}}}var {c}={{a:{i},b:!0}};" for i, c in enumerate("efghijklmnop" * 3))
     lib, own = hand(6, 1), [hand(6, s) for s in range(10, 16)]
+    lock = json.dumps({"lockVersion": 2, "packages": {f"p{i}": {"version": f"1.{i}.0", "resolved": f"https://r.example/p{i}", "integrity": f"sha512-{rng.randrange(10**30)}"} for i in range(30)}}, indent=1)
+    said = "# Code generated by x-gen. DO NOT EDIT.\n" + "".join(f"- name: a{i}\n  kind: b\n  size: {i}\n" for i in range(9))
     patched = lib.replace("return nil", "return errPatched", 1)
     files = [
         (1, "r1", "a/zz.go", generated), (2, "r1", "a/t.go", data), (3, "r1", "w/x.js", mini), (4, "r1", "pkg/util/l.go", lib), (5, "r2", "third_party/l/l.go", lib), (6, "r3", "internal/compat/q.go", patched),
-        (7, "r1", "config/package-lock.json", '{"lockVersion": 2, "packages": {"a": {"integrity": "sha256-x"}}}'), (8, "r1", "c.yaml", "# Code generated by x-gen. DO NOT EDIT.\na: 1\n"),
+        (7, "r1", "config/package-lock.json", lock), (8, "r1", "c.yaml", said), (18, "r1", "d.yaml", said.partition("\n")[2]),  # a list that nothing says is a tool's
         (9, "r1", "g.go", "// The writer below emits the line \"Code generated by x. DO NOT EDIT.\"\n" + own[0]), (10, "r1", "internal/vendoring/v.go", own[1]), (11, "r2", "b.go", own[2]), (12, "r2", "b.go", "// This used to be generated; it has been kept by hand since the split.\n" + own[3]),
         (13, "r1", None, "x"), (14, "r1", "n.go", None), (15, "r1", "e.go", ""), (16, "r4", "same.go", own[4]), (17, "r4", "same2.go", own[4]),  # twice in one repository
         (1, "r1", "a/zz.go", generated),
@@ -246,9 +248,30 @@ def found(spark, files):
     return {r["file_id"]: r["kind"] for r in provenance.classify(df).collect()}
 
 
-def test_names_of_third_party_folders_decide_nothing_elsewhere(spark):
-    files = [(1, "r1", "external/config/x/a.go", hand(6, 31)), (2, "r1", "config/b.go", hand(6, 32)), (3, "r2", "pkg/config/c.go", hand(6, 33))]
-    assert found(spark, files) == {1: "vendored"}
+def test_names_of_third_party_folders_only_nominate(spark):
+    """Hand-written code is nothing else for lying in a folder of such a name."""
+    files = [(1, "r1", "external/config/x/a.go", hand(6, 31)), (2, "r1", "config/b.go", hand(6, 32)), (3, "r2", "pkg/config/c.go", hand(6, 33)), (4, "r1", "deps/list.go", hand(6, 34)), (5, "r2", "third_party/util/u.go", hand(6, 35)), (6, "r1", "internal/util/hand.go", hand(6, 36))]
+    assert found(spark, files) == {}
+
+
+def test_packages_of_third_parties_are_judged_whole(spark):
+    """A package some of whose files share rules with another repository is third-party code,
+    files without a counterpart, broken and short ones too; so is a file that names its source
+    and holds less of it than others must."""
+    lib = hand(6, 51)
+    files = [(1, "r1", "a/vendor/l/x.go", lib), (2, "r1", "a/vendor/l/y.go", hand(3, 52)), (3, "r1", "a/vendor/l/doc.go", "package l\n"), (4, "r1", "a/vendor/l/bad.go", hand(2, 53) + "\x00"), (5, "r1", "a/vendor/m/z.go", hand(4, 54))]
+    files += [(6, "r2", "p/q.go", "// Copied from l v1.2, see LICENSE.l\n" + lib[: len(lib) // 2] + hand(4, 55).partition(")\n")[2]), (7, "r3", "own.go", hand(5, 56))]
+    assert found(spark, files) == {i: "vendored" for i in (1, 2, 3, 4, 6)}
+
+
+def test_other_holders_of_the_copyright_nominate(spark):
+    note = "// Copyright (c) 2024 The {} Authors.\n"
+    lib = hand(8, 57)
+    part = lib[: lib.index("func", len(lib) // 2)]
+    files = [(i, "r1", f"a{i}.go", note.format("Fleet") + hand(4, 600 + i)) for i in range(4)] + [(9, "r1", "b.go", note.format("Ring") + part + hand(7, 58).partition(")\n")[2])]
+    files += [(20, "r2", "c.go", note.format("Fleet") + part + hand(7, 59).partition(")\n")[2]), (21, "r2", "d.go", note.format("Fleet") + hand(4, 61))]
+    assert provenance.holder_of(["Copyright the fleet maintainers."]) == "fleet" and provenance.holder_of(["Copyright 2020-2024 Ann Lee, all rights kept"]) == "ann lee"
+    assert found(spark, files) == {9: "vendored"}  # of the two that share less than half, the one of another holder
 
 
 def test_copies_in_a_block_that_was_split(spark):
@@ -281,7 +304,7 @@ def test_short_copies_patched_or_embedded(spark):
 
     lib, other = tiny(71), tiny(72)
     start = other.index("func")
-    files = [(1, "r1", "vendor/l/a.go", lib), (2, "r2", "b.go", lib.replace("+=", "-=")), (3, "r3", "c.go", other), (4, "r4", "deps/m/d.go", hand(8, 73) + "\n" + other[start:]), (5, "r5", "e.go", tiny(74)), (6, "r6", "f.go", tiny(74).replace("+=", "-="))]
+    files = [(1, "r1", "vendor/l/a.go", lib), (2, "r2", "b.go", lib.replace("+=", "-=")), (3, "r3", "c.go", other), (4, "r4", "deps/m/d.go", hand(1, 73) + "\n" + other[start:]), (5, "r5", "e.go", tiny(74)), (6, "r6", "f.go", tiny(74).replace("+=", "-="))]
     assert all(provenance.SMALLEST_COPY <= len(provenance._exact(golang.lex(t))) <= 60 for t in (lib, other))
     assert found(spark, files) == {i: "vendored" for i in range(1, 5)}  # 5 and 6 are alike, but nothing says third-party
 
@@ -333,11 +356,9 @@ def test_pairs_and_validity_agree_on_files(spark):
 def test_encoded_tables_in_json():
     rng = random.Random(4)
     cells = ["".join(rng.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(60)) for _ in range(12)]
-    assert provenance.verdict("json", "a/t.json", json.dumps({"rows": cells}))[0] == "data"
-    assert provenance.verdict("yaml", "a/t.yaml", "rows:\n" + "".join(f'- "{c}"\n' for c in cells))[0] == "data"
-    assert provenance.verdict("json", "a/l.json", json.dumps({"lockVersion": 1, "integrity": cells}))[0] == "generated"
-    assert provenance.verdict("json", "a/p.json", json.dumps({"name": "x", "scripts": {"build": "make all"}}))[0] is None
-    assert provenance.verdict("yaml", "a/p.yaml", "a: 1\nb: text of ours\n")[0] is None
+    kind = lambda language, text: provenance.verdict(language, text)[0]
+    assert kind("json", json.dumps({"rows": cells})) == "data" and kind("yaml", "rows:\n" + "".join(f'- "{c}"\n' for c in cells)) == "data"
+    assert kind("json", json.dumps({"name": "x", "scripts": {"build": "make all"}})) is None and kind("yaml", "a: 1\nb: text of ours\n") is None
 
 
 def test_trigrams():
