@@ -8,7 +8,7 @@ import shutil
 import tempfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,3 +123,14 @@ def once(df: DataFrame, key: str, by: str = "loaded_at") -> DataFrame:
     except AnalysisException:
         return latest(df, key, by)
     return without(placed, outdated(placed, key, by)).drop("_file", "_row")
+
+
+def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """Rows numbered from 1 in an order, without a task that holds them all: each partition of
+    a range is numbered, written, and moved by the rows of the ranges before (one row each)."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the row's place in its partition are the lower 33 bits
+    placed = cut(parts.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.col("_at") + 1).drop("_part", "_at", "_base")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.common import broadcast_if_small
+from skein.common import broadcast_if_small, cut
 from skein.functions.text import after_last, directory
 from skein.store import first_by
 
@@ -84,7 +84,7 @@ def embed_edges(entities: DataFrame, scope: list[str] = ()) -> DataFrame:
     packages = entities.filter((F.col("kind") == "package") & (F.size("embeds") > 0)).select(*scope, F.col("id").alias("src"), directory("source_file").alias("parent"))
     lengths = packages.select(F.length("parent").alias("size")).distinct()
     held = entities.filter(F.col("kind").isin("crd", "resource")).select(*scope, F.col("id").alias("dst"), directory("source_file").alias("dir"), "ord")
-    prefixes = held.join(broadcast_if_small(lengths), F.expr("size <= length(dir)")).withColumn("parent", F.expr("substring(dir, 1, size)"))
+    prefixes = held.join(broadcast_if_small(cut(lengths)), F.expr("size <= length(dir)")).withColumn("parent", F.expr("substring(dir, 1, size)"))
     found = packages.join(prefixes, [*scope, "parent"])
     return found.select(*scope, "src", "dst", F.lit("embeds").alias("type"), F.col("ord").alias("pos"))
 
@@ -116,8 +116,11 @@ def edges(entities: DataFrame, scope: list[str] = ()) -> DataFrame:
 def snippets(made: DataFrame, files: DataFrame) -> DataFrame:
     """Edges with the trimmed source line they point at, '' where there is none.
 
-    ``files``: (path, content). One join with the lines edges point at, no file is read twice.
+    ``files``: (path, content). A file meets the lines asked of it once, is split once, and
+    only those lines leave it; lines of one path are at most as many as the file has.
     """
-    asked = made.select(F.col("ev_file").alias("path"), "ev_line").distinct()
-    lines = files.join(asked, "path").select("path", "ev_line", F.regexp_replace(F.coalesce(F.try_element_at(F.split("content", "\n"), F.greatest("ev_line", F.lit(1))), F.lit("")), r"^\s+|\s+$", "").alias("ev_snippet"))
-    return made.join(lines.filter("ev_line > 0").withColumnRenamed("path", "ev_file"), ["ev_file", "ev_line"], "left").withColumn("ev_snippet", F.coalesce("ev_snippet", F.lit("")))
+    asked = made.filter("ev_line > 0").groupBy(F.col("ev_file").alias("path")).agg(F.collect_set("ev_line").alias("asked"))
+    numbered = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("ev_line"), x.alias("text")))
+    told = files.join(asked, "path").select(F.col("path").alias("ev_file"), F.explode(F.filter(numbered, lambda r: F.array_contains("asked", r["ev_line"]))).alias("r"))
+    lines = told.select("ev_file", "r.ev_line", F.regexp_replace("r.text", r"^\s+|\s+$", "").alias("ev_snippet"))
+    return made.join(lines, ["ev_file", "ev_line"], "left").withColumn("ev_snippet", F.coalesce("ev_snippet", F.lit("")))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.common import cut
 from skein.functions.text import after_last
-from skein.store import first_by
+from skein.operators.traverse import impact, impact_parts
+from skein.store import Graph, first_by
 
+#: Signs of a name by which names meet.
+KEY = 6
 # Callees of no interest in a review.
 NOISE_PACKAGES = "fmt errors strings log context os io bytes strconv sort sync time reflect math regexp".split()
 NOISE_METHODS = "DeepCopy DeepCopyObject DeepCopyInto Patch Status Get List Create Update Delete MergeFrom StrategicMergeFrom String Error".split()
@@ -27,7 +31,7 @@ def changed_entities(entities: DataFrame, files: DataFrame, hunks: DataFrame, sc
     modified = files.filter(F.col("status").isin("M", "R")).select(*scope, "path")
     h = hunks.join(modified, [*scope, "path"], "left_semi").withColumn("end", F.greatest("new_start", F.expr("new_start + new_count - 1")))
     hit = e.join(h, [*scope, "path"]).filter("new_start <= last and end >= first")
-    near = hit.groupBy(*scope, "path", "id", "kind").agg(F.array_sort(F.collect_set(F.struct("new_start", "new_count"))).alias("hunks")).withColumn("approximate", F.lit(True))
+    near = hit.groupBy(*scope, "path", "id", "kind").agg(F.array_sort(F.collect_set(F.struct(*[c for c in ("new_start", "new_count", "old_count") if c in h.columns]))).alias("hunks")).withColumn("approximate", F.lit(True))
     added = e.join(files.filter(F.col("status") == "A").select(*scope, "path"), [*scope, "path"], "left_semi")
     added = added.select(*scope, "path", "id", "kind", F.array().cast(near.schema["hunks"].dataType).alias("hunks"), F.lit(False).alias("approximate"))
     return near.unionByName(added)
@@ -49,15 +53,49 @@ def test_targets(tests: DataFrame, functions: DataFrame, scope: list[str] = ())
     Both: (scope.., id, name, path, ord).
     """
     scope = list(scope)
-    low = lambda c: F.lower(c)
-    t = tests.select(*scope, F.col("id").alias("test"), low(F.regexp_replace("name", "^Test", "")).alias("t"), F.regexp_replace("path", r"_test\.go$", "").alias("stem"))
-    f = functions.select(*scope, F.col("id").alias("target"), low(F.col("name")).alias("f"), F.regexp_replace("path", r"\.go$", "").alias("stem"), "ord")
-    by_name = t.drop("stem").join(f.drop("stem"), scope).filter("contains(t, f) or contains(f, t)") if scope else t.drop("stem").join(f.drop("stem"), F.expr("contains(t, f) or contains(f, t)"))
-    named = first_by(by_name.select(*scope, "test", "target", "ord"), [*scope, "test"], ["ord", "target"]).select(*scope, "test", "target", F.lit("naming convention").alias("reason"))
+    t = tests.select(*scope, F.col("id").alias("test"), F.lower(F.regexp_replace("name", "^Test", "")).alias("t"), F.regexp_replace("path", r"_test\.go$", "").alias("stem"))
+    f = functions.select(*scope, F.col("id").alias("target"), F.lower("name").alias("f"), F.regexp_replace("path", r"\.go$", "").alias("stem"), "ord")
+    # of two names one of which holds the other, the beginning of the shorter is a part of the
+    # longer: names meet by equality of that, and are compared whole then
+    t, f = cut(t), cut(f)
+    begin = lambda df, c: df.withColumn("key", F.substring(c, 1, KEY))
+    parts = lambda df, c: df.withColumn("key", F.explode(F.array_distinct(_parts(c))))
+    held = parts(t, "t").join(begin(f, "f").drop("stem"), [*scope, "key"]).filter("contains(t, f)").select(*scope, "test", "target", "ord")
+    holds = begin(t, "t").join(parts(f, "f").drop("stem"), [*scope, "key"]).filter("contains(f, t)").select(*scope, "test", "target", "ord")
+    named = first_by(held.unionByName(holds), [*scope, "test"], ["ord", "target"]).select(*scope, "test", "target", F.lit("naming convention").alias("reason"))
     same = t.join(named.select(*scope, "test"), [*scope, "test"], "left_anti").join(f, [*scope, "stem"])
     return named.unionByName(same.select(*scope, "test", "target", F.lit("same file").alias("reason")))
 
 
+def _parts(name: str) -> F.Column:
+    """The parts of a name of up to ``KEY`` signs, '' too."""
+    starts = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(F.array().cast("array<int>"))
+    some = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length(name) - a + 1)), lambda k: F.substring(F.col(name), a, k))))
+    return F.concat(some, F.array(F.lit("")))
+
+
+def analyze(g: Graph, changed: DataFrame) -> dict[str, DataFrame]:
+    """What the changed entities but tests touch, one row each: callees (id, pos, call) as
+    written, callers, tests, controllers and resources (id, other, name).
+
+    Tests are those tied to the entity, else those its blast radius reaches; controllers and
+    resources are the blast radius's. All entities are walked at once. ``changed``: (id, kind).
+    """
+    subject = cut(changed.filter("kind <> 'test'").select("id").distinct())
+    known = g.names.select(F.col("id").alias("other"), "name")
+    calls = g.edges.filter("type = 'calls'").select(F.col("dst").alias("id"), F.col("src").alias("other"))
+    tied = g.edges.filter("type = 'tested_by'").select(F.col("src").alias("id"), F.col("dst").alias("other"))
+    met = lambda ends: ends.join(subject, "id", "left_semi").distinct().join(known, "other").select("id", "other", "name")
+    parts = impact_parts(g, impact(g, subject))
+    reach = lambda name: parts[name].select(F.col("root").alias("id"), F.col("id").alias("other"), "name")
+    tests = met(tied)
+    return {
+        "callees": g.entities.join(subject, "id", "left_semi").select("id", F.posexplode("calls").alias("pos", "call")),
+        "callers": met(calls), "tests": tests.unionByName(reach("tests").join(tests.select("id"), "id", "left_anti")),
+        "controllers": reach("controllers"), "resources": reach("resources"),
+    }
+
+
 def added_test(hunks) -> F.Column:
     """Whether all hunks add only; true without any."""
     return F.forall(hunks, lambda h: h["old_count"] == 0)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.common import broadcast_if_small, cut
-from skein.operators.lookup import where
+from skein.operators.lookup import callers, where
 from skein.store import Graph, numbered, top
 
 CONTEXT_NODES, CHAIN, DEPTH = 50, 50, 5
@@ -44,6 +44,7 @@ def investigate(g: Graph, root: str, each: int = 20) -> dict[str, DataFrame]:
         found = g.links(here, root).join(ends, there)
         parts[name] = numbered(found, ["type"], "ord", "id").filter(F.col("n") <= each)
     parts["tests"] = parts["out"].filter(F.col("type") == "tested_by")
+    parts["callers"] = callers(g, root)
     file = g.nodes(root).select("source_file").first()
     near = where(g, file[0], each + 1) if file else g.entities.filter("false")
     parts["siblings"] = top(near.filter(F.col("id") != root), each, "id")

@@ -7,12 +7,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.common import latest, table
+from skein.common import latest, once, ranked, table
 from skein.functions.text import short_name
 from skein.operators import build, lookup, maintain, origin, review, traverse, views
 from skein.store import Graph, delivered, merged, normalise
 
-SINCE, SCOPE = "2024-06-01T00:00:00Z", ["repo"]
+SINCE, SCOPE, _TREE = "2024-06-01T00:00:00Z", ["repo"], ["repo", "branch"]
 
 
 @lru_cache(maxsize=8)
@@ -226,6 +226,17 @@ def _(spark, d, g):
     return _edge(traverse.investigate(g, _root(spark, d))["in"], "other_name", F.col("n").cast("long").alias("n"))
 
 
+@query("investigate_callers", f"select {_BRIEF} from e where id in (select src from r where type = 'calls' and dst = (select id from root))")
+def _(spark, d, g):
+    return _brief(traverse.investigate(g, _root(spark, d))["callers"])
+
+
+@query("investigate_tests", _ENDS.format("src", "dst", "(select min(src) as id from r where type = 'tested_by')").replace("where n <= 20", "where n <= 20 and type = 'tested_by'"))
+def _(spark, d, g):
+    tested = g.edges.filter("type = 'tested_by'").agg(F.min("src")).first()[0] or ""
+    return _edge(traverse.investigate(g, tested)["tests"], "other_name", F.col("n").cast("long").alias("n"))
+
+
 @query(
     "investigate_siblings",
     f"with me as (select id, source_file from e where id = (select id from ctl)), near as (select e.* from e, me where contains(lower(e.source_file), lower(me.source_file)) or len(list_filter(e.files, lambda x: contains(lower(x), lower(me.source_file)))) > 0 order by e.id limit 21) select {_BRIEF} from near where id <> (select id from me) order by id limit 20",
@@ -234,12 +245,12 @@ def _(spark, d, g):
     return _brief(traverse.investigate(g, _controller(spark, d))["siblings"])
 
 
-def _up_sql(depth: int = traverse.DEPTH, most: int = traverse.CHAIN) -> str:
+def _up_sql(roots: str = "select id from e where kind = 'function' and id in (select dst from c)", depth: int = traverse.DEPTH, most: int = traverse.CHAIN) -> str:
     """The capped walk, level by level: f0 .. are the frontiers, chain all of them."""
     out = [
         "with pair as (select dst, src, min((ord, id)) as o from r where type = 'calls' and src in (select id from e) group by dst, src)",
         "c as (select dst, src, row_number() over (partition by dst order by o, src) as rk from pair)",
-        "f0 as (select id as root, id, 0 as level, 1 as pos from e where kind = 'function' and id in (select dst from c))",
+        f"f0 as (select id as root, id, 0 as level, 1 as pos from ({roots}))",
     ]
     for n in range(1, depth + 1):
         seen = " union all ".join(f"select root, id, pos from f{i}" for i in range(n))
@@ -337,36 +348,53 @@ for _type, _sign in (("reconciles", "="), ("watches", ">")):
         return build.watch_edges(g.entities, SCOPE).filter(F.col("type") == kind).select("src", "dst").distinct()
 
 
-@query(
-    "edges_implements",
-    "with f as (select repo, name, arg_min(id, (ord, id)) as dst from e where kind = 'function' group by all), i as (select repo, id as src, regexp_extract(unnest(implements), '([^.]*)$', 1) as bare from e) select distinct i.src, f.dst from i join f on f.repo = i.repo and f.name = i.bare",
-)
-def _(spark, d, g):
-    return build.implement_edges(g.entities, SCOPE).select("src", "dst").distinct()
-
+# In the delivered rows no interface bears a function's name, no manifest lies below the parent of
+# a package with embeds and no test is named after a function of its package, so these three are
+# given rows that do: interfaces named by what a function calls first, manifests moved from config
+# to internal, tests named after the first function of their package.
 
 _DIR = "case when contains({0}, '/') then regexp_replace({0}, '/[^/]*$', '') else '.' end"
+_IMPLEMENTS = "ff as (select repo, name, arg_min(id, (ord, id)) as dst from e where kind = 'function' group by all), i as (select repo, id as src, regexp_extract(calls[1], '([^.]*)$', 1) as bare from e where len(calls) > 0), implements_ as (select distinct i.src, ff.dst from i join ff on ff.repo = i.repo and ff.name = i.bare)"
+_EMBEDS = f"p as (select repo, id as src, {_DIR.format('source_file')} as parent from e where kind = 'package' and len(embeds) > 0), h as (select repo, id as dst, {_DIR.format('m')} as dir from (select *, regexp_replace(source_file, '^config/', 'internal/') as m from e where kind in ('crd', 'resource'))), embeds_ as (select distinct p.src, h.dst from p join h on h.repo = p.repo and starts_with(h.dir, p.parent))"
+_TESTED = "fl as (select repo, package, name, arg_max(id, (ord, id)) as src from e where kind = 'function' group by all), fm as (select repo, package, min(name) as name from e where kind = 'function' group by all), tested_ as (select fl.src, t.id as dst from e t join fm on fm.repo = t.repo and fm.package = t.package join fl on fl.repo = t.repo and fl.package = t.package and fl.name = fm.name where t.kind = 'test')"
 
 
-@query(
-    "edges_embeds",
-    f"with p as (select repo, id as src, {_DIR.format('source_file')} as parent from e where kind = 'package' and len(embeds) > 0), h as (select repo, id as dst, {_DIR.format('source_file')} as dir from e where kind in ('crd', 'resource')) select distinct p.src, h.dst from p join h on h.repo = p.repo and starts_with(h.dir, p.parent)",
-)
+def _matching(g: Graph) -> DataFrame:
+    """Entities that all kinds of edges are made of."""
+    named = g.entities.filter("kind = 'function'").groupBy("repo", "package").agg(F.min("name").alias("_named"))
+    rows = g.entities.join(named, ["repo", "package"], "left")
+    return rows.withColumns({
+        "implements": F.slice("calls", 1, 1), "name": F.when(F.col("kind") == "test", F.coalesce(F.concat(F.lit("Test"), F.col("_named")), "name")).otherwise(F.col("name")),
+        "source_file": F.when(F.col("kind").isin("crd", "resource"), F.regexp_replace("source_file", "^config/", "internal/")).otherwise(F.col("source_file")),
+    }).drop("_named")
+
+
+@query("edges_implements", "with " + _IMPLEMENTS + " select src, dst from implements_")
 def _(spark, d, g):
-    return build.embed_edges(g.entities, SCOPE).select("src", "dst").distinct()
+    return build.implement_edges(_matching(g), SCOPE).select("src", "dst").distinct()
 
 
-@query(
-    "edges_tested_by",
-    "with f as (select repo, package, name, arg_max(id, (ord, id)) as src from e where kind = 'function' group by all), t as (select repo, package, id as dst, regexp_replace(name, '^Test', '') as bare from e where kind = 'test') select f.src, t.dst from t join f on f.repo = t.repo and f.package = t.package and f.name = t.bare",
-)
+@query("edges_embeds", "with " + _EMBEDS + " select src, dst from embeds_")
 def _(spark, d, g):
-    return build.test_edges(g.entities, SCOPE).select("src", "dst")
+    return build.embed_edges(_matching(g), SCOPE).select("src", "dst").distinct()
 
 
-@query("edges_all")
+@query("edges_tested_by", "with " + _TESTED + " select src, dst from tested_")
 def _(spark, d, g):
-    return build.edges(g.entities, SCOPE).drop("made_at")
+    return build.test_edges(_matching(g), SCOPE).select("src", "dst")
+
+
+_ALL_EDGES = _RESOLVE + ", wt as (select repo, name, arg_max(id, (ord, id)) as dst from e where kind in ('crd', 'resource') group by all), w as (select repo, id as src, unnest(watches) as watch, generate_subscripts(watches, 1) as pos from e where kind = 'controller'), " + ", ".join((_IMPLEMENTS, _EMBEDS, _TESTED)) + """,
+made as (select distinct src, dst, 'calls' as type from got where src <> dst or kind <> 'function'
+  union select w.src, wt.dst, case when w.pos = 1 then 'reconciles' else 'watches' end from w join wt on wt.repo = w.repo and wt.name = w.watch
+  union select src, dst, 'implements' from implements_ union select src, dst, 'embeds' from embeds_ union select src, dst, 'tested_by' from tested_)
+select made.src || '--' || type || '--' || made.dst as id, made.src, made.dst, type, case when type = 'reconciles' then 'proven' else 'inferred' end as confidence, 'graph' as ev_parser,
+  case when kind in ('crd', 'resource') then regexp_replace(source_file, '^config/', 'internal/') else source_file end as ev_file, cast(case when type = 'embeds' then 1 else source_line end as bigint) as ev_line from made join e on e.id = made.src"""
+
+
+@query("edges_all", _ALL_EDGES)
+def _(spark, d, g):
+    return build.edges(_matching(g), SCOPE).drop("made_at", "ev_reason").withColumn("ev_line", F.col("ev_line").cast("long"))
 
 
 # Maintenance
@@ -386,7 +414,7 @@ def _(spark, d, g):
 
 
 _LISTS = """with one as (select repo, branch, commit_sha, min(graph_id) as graph_id, arg_min(generated_at, graph_id) as made from graph_meta group by all),
-s as (select repo || '@' || branch as tree, graph_id, row_number() over (partition by repo, branch order by try_cast(made as timestamptz) desc nulls last, made desc, graph_id desc) as n from one),
+s as (select repo, repo || '@' || branch as tree, graph_id, row_number() over (partition by repo, branch order by try_cast(made as timestamptz) desc nulls last, made desc, graph_id desc) as n from one),
 f as (select s.tree, s.n, s.tree || ':' || t.path as path, strftime(try_cast(modified as timestamptz) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as m from file_timestamps t join s using (graph_id) where n <= 2),
 a as (select * from f where n = 1), b as (select * from f where n = 2),
 listing as (select coalesce(a.path, b.path) as path, case when a.path is null then 'deleted' when b.m is null or a.m <> b.m then 'changed' else 'unchanged' end as status from a full join b on a.path = b.path) """
@@ -401,36 +429,37 @@ def _listings(spark, d):
     meta = table(spark, d, "graph_meta")
     one = meta.groupBy("repo", "branch", "commit_sha").agg(F.min(F.struct("graph_id", "generated_at")).alias("m"))
     w = Window.partitionBy("repo", "branch").orderBy(instant("m.generated_at").desc_nulls_last(), F.desc("m.generated_at"), F.desc("m.graph_id"))
-    s = one.select(F.concat("repo", F.lit("@"), "branch").alias("tree"), F.col("m.graph_id").alias("graph_id"), F.row_number().over(w).alias("n"))
+    s = one.select("repo", "branch", F.col("m.graph_id").alias("graph_id"), F.row_number().over(w).alias("n"))
     f = table(spark, d, "file_timestamps").join(s.filter("n <= 2"), "graph_id")
-    f = f.select("n", F.concat("tree", F.lit(":"), "path").alias("path"), maintain.second(F.col("modified").try_cast("timestamp")).alias("modified"))
+    f = f.select("n", *_TREE, "path", maintain.second(F.col("modified").try_cast("timestamp")).alias("modified"))
     return f.filter("n = 1").drop("n"), f.filter("n = 2").drop("n")
 
 
 @query("changed_files", _LISTS + "select path, status from listing")
 def _(spark, d, g):
-    return maintain.changed_files(*_listings(spark, d))
+    status = maintain.changed_files(*_listings(spark, d), _TREE)
+    return status.select(F.concat("repo", F.lit("@"), "branch", F.lit(":"), "path").alias("path"), "status")
 
 
-@query("carry_over", """with f as (select repo, source_file from e), u as (select distinct repo || ':' || source_file as path, source_file from e where source_file like '%store.go'),
-up as (select distinct path, source_file from u)
-select id, source_file from e where exists (select 1 from up where up.source_file = e.source_file or starts_with(up.source_file, e.source_file || '/') or e.source_file = '.')""")
+@query("carry_over", _LISTS + """, u as (select s.repo, substr(l.path, length(s.tree) + 2) as path from listing l join s on starts_with(l.path, s.tree || ':') and s.n = 1 where l.status = 'unchanged')
+select distinct e.id, e.source_file from e where exists (select 1 from u where u.repo = e.repo and (u.path = e.source_file or starts_with(u.path, e.source_file || '/') or e.source_file = '.'))""")
 def _(spark, d, g):
-    unchanged = g.entities.filter(F.col("source_file").endswith("store.go")).select(F.col("source_file").alias("path")).distinct()
-    return maintain.carry_over(g.entities, unchanged).select("id", "source_file")
+    """Entities of the files that the last two snapshots of a branch have unchanged."""
+    same = maintain.changed_files(*_listings(spark, d), _TREE).filter("status = 'unchanged'")
+    return maintain.carry_over(g.entities, same.select("repo", "path").distinct(), SCOPE).select("id", "source_file")
 
 
-_COMMITS = """with c as (select repo, loaded_at, coalesce(ev_file, '') as path, rel_id, 'user' || (rel_id % 7) as author from r0 where coalesce(ev_file, '') <> ''),
-h as (select path, arg_max(author, (loaded_at, rel_id)) as last_author, strftime(date_trunc('second', max(loaded_at) at time zone 'UTC'), '%Y-%m-%dT%H:%M:%SZ') as last_modified, count(*) as change_count from c group by path) """
+_COMMITS = """with c as (select coalesce(repo, '') as repo, loaded_at, ev_file as path, rel_id, 'user' || (rel_id % 7) as author from r0 where coalesce(ev_file, '') <> ''),
+h as (select repo, path, arg_max(author, (loaded_at, rel_id)) as last_author, strftime(date_trunc('second', max(loaded_at)), '%Y-%m-%dT%H:%M:%SZ') as last_modified, count(*) as change_count from c group by repo, path) """
 
 
-@query("temporal_enrich", _COMMITS + "select e.id, coalesce(h.last_author, e.last_author) as last_author, cast(coalesce(h.change_count, e.change_count) as bigint) as change_count from e left join h on h.path = e.source_file")
+@query("temporal_enrich", _COMMITS + "select e.id, coalesce(h.last_author, e.last_author) as last_author, coalesce(h.last_modified, e.last_modified) as last_modified, cast(coalesce(h.change_count, e.change_count) as bigint) as change_count from e left join h on h.repo = e.repo and h.path = e.source_file")
 def _(spark, d, g):
     """History made of the deliveries of edges, one commit each."""
-    rows = normalise(latest(table(spark, d, "relationships"), "rel_id")).filter("ev_file <> ''")
+    rows = normalise(once(table(spark, d, "relationships"), "rel_id")).filter("ev_file <> ''")
     seq = F.struct((-F.unix_micros("loaded_at")).alias("t"), (-F.col("rel_id")).alias("i"))
-    commits = rows.select(seq.alias("seq"), F.concat(F.lit("user"), F.col("rel_id") % 7).alias("author"), F.unix_seconds("loaded_at").alias("ts"), F.col("ev_file").alias("path"))
-    return maintain.enrich(g.entities, maintain.history(commits)).select("id", "last_author", F.col("change_count").cast("long").alias("change_count"))
+    commits = rows.select("repo", seq.alias("seq"), F.concat(F.lit("user"), F.col("rel_id") % 7).alias("author"), F.unix_seconds("loaded_at").alias("ts"), F.col("ev_file").alias("path"))
+    return maintain.enrich(g.entities, maintain.history(commits, SCOPE), SCOPE).select("id", "last_author", "last_modified", F.col("change_count").cast("long").alias("change_count"))
 
 
 @query(
@@ -524,24 +553,13 @@ hk as (select repo, path, 10 * i as s, (k + i) % 7 as c from df, (select unnest(
 def _diff(spark, d, g):
     """A made-up diff over every source file: statuses in turn, three hunks each."""
     paths = g.entities.filter(F.col("source_file").endswith(".go") | F.col("source_file").endswith(".yaml")).select("repo", F.col("source_file").alias("path")).distinct()
-    k = _ranked(paths)
+    k = ranked(paths, "repo", "path", name="k")
     status = F.element_at(F.array(*map(F.lit, "AMDR")), (F.col("k") % 4 + 1).cast("int"))
     files = k.select("repo", "path", "k", status.alias("status")).unionByName(k.filter("k % 5 = 0").select("repo", F.concat("path", F.lit(".extra.go")).alias("path"), "k", F.lit("M").alias("status")))
     hunks = files.select("repo", "path", "k", F.explode(F.array(*map(F.lit, (1, 3, 6)))).alias("i")).select("repo", "path", (F.col("i") * 10).alias("new_start"), ((F.col("k") + F.col("i")) % 7).cast("int").alias("new_count"))
     return files, hunks
 
 
-def _ranked(paths: DataFrame) -> DataFrame:
-    """Dense ranks without a window over all rows: places within ranges, after the ranges before."""
-    from pyspark.sql import Window
-
-    placed = paths.repartitionByRange("repo", "path").withColumn("part", F.spark_partition_id())
-    placed = placed.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("repo", "path")))
-    sizes = placed.groupBy("part").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("base"))
-    return placed.join(F.broadcast(before), "part").select("repo", "path", (F.col("base") + F.col("i")).alias("k"))  # one row a partition
-
-
 @query(
     "diff_map_entities",
     _DIFF + """, x as (select repo, source_file as path, id, source_line as first, lead(source_line) over (partition by repo, source_file order by source_line, id) as nxt from e),
@@ -600,6 +618,38 @@ def _(spark, d, g):
     return g.entities.select("id", short_name("id").alias("short"))
 
 
+_CHANGED = _DIFF + f""", x as (select repo, source_file as path, id, kind, source_line as first, lead(source_line) over (partition by repo, source_file order by source_line, id) as nxt from e),
+y as (select *, case when nxt is null then 2147483647 else greatest(first, nxt - 1) end as last from x),
+touched as (select y.id, y.kind from y join df on df.repo = y.repo and df.path = y.path and df.status in ('M', 'R') join hk on hk.repo = y.repo and hk.path = y.path where hk.s <= y.last and greatest(hk.s, hk.s + hk.c - 1) >= y.first
+  union select y.id, y.kind from y join df on df.repo = y.repo and df.path = y.path and df.status = 'A'),
+subject as (select distinct id from touched where kind <> 'test'), """ + _up_sql("select id from subject")[5:] + """,
+tied as (select distinct r.src as id, r.dst as other, o.name from r join subject s on s.id = r.src join e o on o.id = r.dst where r.type = 'tested_by'),
+reach as (select root as id, other, name from (select *, row_number() over (partition by root order by other) as n from (select distinct p.root, o.id as other, o.name from chain p join r on r.src = p.id join e o on o.id = r.dst where r.type in ({0}))) where n <= 30) """
+_REVIEW = {
+    "callees": (["id", "pos", "call"], "'x'", "select e.id, e.call, cast(e.i - 1 as bigint) as pos from (select id, unnest(calls) as call, generate_subscripts(calls, 1) as i from e) e join subject using (id)"),
+    "callers": (["id", "other", "name"], "'x'", "select distinct r.dst as id, r.src as other, o.name from r join subject s on s.id = r.dst join e o on o.id = r.src where r.type = 'calls'"),
+    "tests": (["id", "other", "name"], "'tested_by'", "select id, other, name from tied union all select id, other, name from reach where id not in (select id from tied)"),
+    "controllers": (["id", "other", "name"], "'x'", "select p.root as id, o.id as other, o.name from chain p join e o on o.id = p.id where o.kind = 'controller'"),
+    "resources": (["id", "other", "name"], "'reconciles', 'creates'", "select id, other, name from reach"),
+}
+
+
+@lru_cache(maxsize=4)
+def _analyzed(spark, d):
+    g = _graph(spark, d)
+    return review.analyze(g, review.changed_entities(g.entities, *_diff(spark, d, g), scope=SCOPE))
+
+
+def _review_part(name: str, cols: list[str], types: str, sql: str):
+    @query(f"review_{name}", _CHANGED.format(types) + sql)
+    def _(spark, d, g):
+        return _analyzed(spark, d)[name].select(*[F.col(c).cast("long").alias(c) if c == "pos" else c for c in cols])
+
+
+for _name, _part in _REVIEW.items():
+    _review_part(_name, *_part)
+
+
 # Markdown headings of documents
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 SHOWN, SHOWN_PROPERTIES = 10, 15
 # The order in which edge types are shown.
-TYPE_ORDER = ["reconciles", "creates", "owns", "watches", "calls", "tested_by", "documented_in", "depends_on", "imports", "implements", "emits", "contains", "part_of", "embeds"]
+TYPE_ORDER = ["reconciles", "creates", "calls", "watches", "tested_by", "owns", "documented_in", "depends_on", "imports", "implements", "emits", "contains", "part_of", "embeds"]
 LIMITS = ["Static analysis only: calls through interfaces are not followed.", "Changed lines are matched to the nearest entity above them.", "Only files of the scanned repository are known."]
 
 
@@ -48,12 +48,13 @@ def edges(rows) -> str:
     return "\n".join(map(edge, rows)) or "No relationships found."
 
 
-def subgraph(nodes, links) -> str:
+def subgraph(nodes, links, more: int = 0) -> str:
+    """Entities with their edges; ``more``: how many edges are not among ``links``."""
     out = []
     for e in nodes:
         out.append(line(e))
         out += [f"  -> {r['type']} {r['dst']}" for r in links if r["src"] == e["id"]] + [f"  <- {r['type']} {r['src']}" for r in links if r["dst"] == e["id"]]
-    return "\n".join(out) or "No entities found."
+    return "\n".join(out + ([f"(+{more} more relationships)"] if more else [])) or "No entities found."
 
 
 def stats(kinds, types) -> str:
@@ -71,12 +72,18 @@ def view(v) -> str:
 
 
 def investigation(e, parts: dict) -> str:
+    """An entity, its edges by type in the order of display, callers, tests and its file's others."""
     rank = {t: i for i, t in enumerate(TYPE_ORDER)}
     out = [full(e)]
     for title, rows, end in (("Outgoing", parts["out"], "dst"), ("Incoming", parts["in"], "src")):
-        rows = sorted(rows, key=lambda r: (rank.get(r["type"], 99), r["type"], r["n"]))
-        out += [f"{title}:"] + [f"  {r['type']} {r['other_name']} ({r[end]})" for r in rows] if rows else []
-    return "\n".join(out + (["Same file:"] + [f"  {line(s)}" for s in parts["siblings"]] if parts["siblings"] else []))
+        out.append(f"{title}:")
+        for kind in sorted({r["type"] for r in rows}, key=lambda t: (rank.get(t, len(rank)), t)):
+            some_ = sorted((r for r in rows if r["type"] == kind), key=lambda r: r["n"])
+            out += [f" {kind} ({len(some_)}):"] + [f"  {kind} {r['other_name']} ({r[end]})" for r in some_]
+    ends = [{"id": r["dst"], "name": r["other_name"]} for r in sorted(parts["tests"], key=lambda r: r["n"])]
+    for title, lines in (("Callers", [line(c) for c in parts["callers"]]), ("Tests", [f"{t['id']}" for t in ends]), ("Same file", [line(x) for x in parts["siblings"]])):
+        out += [f"{title} ({len(lines)}):"] + [f"  {x}" for x in lines or ["(none)"]]
+    return "\n".join(out)
 
 
 def short(id_: str) -> str:
@@ -119,16 +126,33 @@ def receiver(id_: str) -> str:
     return parts[-2] if len(parts) >= 3 else ""
 
 
-def review(changed, unmapped, links) -> str:
-    """The report of a diff: changed entities by kind, tests and their targets, what is unknown."""
+def review(changed, unmapped, links, parts: dict | None = None) -> str:
+    """The report of a diff: changed entities by kind with what they touch, tests and their
+    targets, what is unknown.
+
+    ``links``: (test, added, [(target, reason)]). ``parts``: by name, by entity id, the names
+    of callees, callers, tests, controllers, resources and its view.
+    """
+    parts = parts or {}
+    shown = [r for r in changed if r["kind"] != "test"]
     out = [f"Review: {len(changed)} changed entities"]
-    for kind in sorted({r["kind"] for r in changed}):
+    for kind in sorted({r["kind"] for r in shown}):
         out.append(f"Changed {label(kind)}:")
-        out += [f"  {r['id']}" + (f" (on {receiver(r['id'])})" if receiver(r["id"]) else "") + (" ~" if r["approximate"] else "") for r in changed if r["kind"] == kind]
+        for r in (r for r in shown if r["kind"] == kind):
+            out.append(f"  {r['id']}" + (f" (on {receiver(r['id'])})" if receiver(r["id"]) else "") + (" ~" if r["approximate"] else ""))
+            for title in ("callees", "callers", "tests", "controllers", "resources"):
+                names = parts.get(title, {}).get(r["id"], [])
+                if names:
+                    out.append(f"    {title} ({len(names)}): {some(names)}")
+            if r["kind"] == "function" and parts and not parts.get("tests", {}).get(r["id"]):
+                out.append("    tests: none known")
+            if (seen := parts.get("views", {}).get(r["id"])) is not None:
+                out += ["    " + x for x in view(seen).split("\n")]
     if links:
-        out += ["Tests:"] + [f"  {r['test']} -> {r['target']} ({r['reason']})" for r in links]
+        out.append("Tests:")
+        for test, added, targets in links:
+            out.append(f"  {test}" + (" (added)" if added else "") + ("" if targets else ": no target found"))
+            out += [f"    {test} -> {target} ({reason})" for target, reason in targets]
     if unmapped:
         out += ["Not in the graph:"] + [f"  {r['path']}" + (" (deleted)" if r["status"] == "D" else "") for r in unmapped]
     return "\n".join([*out, "Limits:", *[f"  - {x}" for x in LIMITS]])
-
-

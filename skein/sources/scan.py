@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein import schema
-from skein.common import cut
+from skein.common import cut, ranked
 from skein.operators import build, maintain, views
 from skein.sources import golang, text
 from skein.store import Graph, merged
@@ -99,15 +99,17 @@ def scan(files: DataFrame, old: Graph | None = None, stamps: DataFrame | None =
             kept = maintain.carry_over(old.entities, same)
     rows = extract(fresh).persist()
     cols = [f.name for f in schema.ENTITY.fields[1:]]
-    w = F.row_number().over(_by_stage())
-    made = rows.filter("id is not null").withColumn("ord", w.cast("long") + 1_000_000_000).select("ord", *cols)
+    # the order is the graph's own: function files, tests, manifests, documents
+    stage = F.when(F.col("source_parser") == "go", 0).when(F.col("source_parser") == "test", 1).when(F.col("source_parser") == "yaml", 2).otherwise(3)
+    made = ranked(rows.filter("id is not null").withColumn("_stage", stage), "_stage", "path", "source_line", "kind", "id", name="ord")
+    made = made.withColumn("ord", F.col("ord") + 1_000_000_000).select("ord", *cols)
     every = made if kept is None else kept.select("ord", *cols).unionByName(made)
     entities = merged(every, ["id"], ["ord"]).withColumn("local_id", F.col("id"))
     if commits is not None:
         entities = maintain.enrich(entities, maintain.history(commits))
     entities = cut(entities)  # read by every edge and view
     edges = build.snippets(cut(build.edges(entities)), files)
-    edges = edges.withColumn("ord", F.row_number().over(_by_made()).cast("long")).drop("made_at")
+    edges = ranked(edges.select("*", "made_at.*").drop("made_at"), "stage", "_ord", "pos", "id", name="ord").drop("stage", "_ord", "pos")
     edges = cut(edges)
     graph = Graph(entities, edges)
     failed = rows.filter("warning is not null").select("path")
@@ -118,20 +120,6 @@ def scan(files: DataFrame, old: Graph | None = None, stamps: DataFrame | None =
     }
 
 
-def _by_stage():
-    from pyspark.sql import Window
-
-    # one repository's entities: the order is the graph's own (function files, tests, manifests, documents)
-    stage = F.when(F.col("source_parser") == "go", 0).when(F.col("source_parser") == "test", 1).when(F.col("source_parser") == "yaml", 2).otherwise(3)
-    return Window.orderBy(stage, "path", "source_line", "kind", "id")
-
-
-def _by_made():
-    from pyspark.sql import Window
-
-    return Window.orderBy("made_at.stage", "made_at._ord", "made_at.pos", "id")
-
-
 def git(root: str, *args: str) -> str:
     """Output of a git command, '' if it fails."""
     done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=False)
@@ -189,3 +177,15 @@ def write_json(graph: Graph, path: str, header: dict | None = None) -> None:
                 f.write(("," if i else "") + "\n\t\t" + json.dumps(row(r), ensure_ascii=False))
             f.write("\n\t]" + last)
         f.write("}\n")
+
+
+def write_parquet(graph: Graph, path: str) -> None:
+    """A graph as two Parquet tables below a folder, written by the executors; entities lie
+    together by kind, edges by type, so that readers skip what they don't ask for."""
+    for name, df, by in (("entities", graph.entities, "kind"), ("relationships", graph.edges, "type")):
+        df.repartitionByRange(by, "id").sortWithinPartitions(by, "id").write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+
+
+def read_parquet(spark: SparkSession, path: str) -> Graph:
+    """A graph written by :func:`write_parquet`."""
+    return Graph(*(spark.read.parquet(f"{path}/{name}.parquet") for name in ("entities", "relationships")))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein import render
+from skein.common import cut
 from skein.operators import lookup, review, traverse, views
 from skein.sources.text import parse_diff
-from skein.store import Graph
+from skein.store import Graph, numbered
+
+#: Edges and names a text shows at most.
+EDGES, NAMES = 2000, 100
 
 
 class Tools:
@@ -25,6 +29,12 @@ class Tools:
         rows = lookup.search(self.g, query, limit).collect()
         return render.entities([r for r in rows if not kind or r["kind"] == kind])
 
+    def query(self, kind: str, name: str = "", limit: int = 20) -> str:
+        """Entities of a kind by name, each with its edges."""
+        found = lookup.lookup(self.g, kind, name, limit).collect()
+        links = [render.edges(rows) for e in found if (rows := lookup.incident(self.g, e["id"]).limit(EDGES).collect())]
+        return "\n".join([render.entities(found), *links])
+
     def entity(self, id_: str = "", ids: list[str] = (), brief: bool = False) -> str:
         if ids:
             return render.entities(lookup.batch(self.g, list(ids)).collect())
@@ -35,7 +45,12 @@ class Tools:
 
     def context(self, id_: str, depth: int = 1) -> str:
         nodes, links = traverse.context(self.g, id_, depth)
-        return render.subgraph(nodes.collect(), links.limit(2000).collect())
+        shown = nodes.collect()  # at most 50
+        ids = [e["id"] for e in shown]
+        near = links.filter(F.col("src").isin(ids) | F.col("dst").isin(ids)).persist()
+        rows, held = near.limit(EDGES).collect(), near.count()
+        near.unpersist()
+        return render.subgraph(shown, rows, max(0, held - EDGES))
 
     def where(self, path: str, detail: bool = False) -> str:
         return render.entities(lookup.where(self.g, path, 30).collect(), brief=not detail)
@@ -79,7 +94,25 @@ class Tools:
             return render.review([], [], [])
         f = spark.createDataFrame([(x[1], x[3]) for x in files], "path string, status string")
         h = spark.createDataFrame([(paths[x[0]], x[4], x[5], x[3]) for x in hunks], "path string, new_start int, new_count int, old_count int")
-        changed = review.changed_entities(self.g.entities, f, h).join(self.g.entities.select("id", "name", F.col("source_file"), "ord"), "id")
+        own = self.g.entities.select("id", "name", "source_file", "ord")
+        changed = cut(review.changed_entities(self.g.entities, f, h).join(own, "id"))
+        rows = changed.orderBy("ord").collect()  # as many as a diff touches
         part = lambda kind: changed.filter(F.col("kind") == kind).select("id", "name", "path", "ord")
-        links = review.test_targets(part("test"), part("function")).orderBy("test", "target").collect()
-        return render.review(changed.orderBy("ord").collect(), review.unmapped(self.g.entities, f).orderBy("path").collect(), links)
+        targets: dict[str, list] = {}
+        for r in review.test_targets(part("test"), changed.filter("kind <> 'test'").select("id", "name", "path", "ord")).orderBy("test", "target").collect():
+            targets.setdefault(r["test"], []).append((r["target"], r["reason"]))
+        added = {r["id"]: r["added"] for r in changed.filter("kind = 'test'").select("id", review.added_test(F.col("hunks")).alias("added")).collect()}
+        links = [(r["id"], added[r["id"]], targets.get(r["id"], [])) for r in rows if r["kind"] == "test"]
+        return render.review(rows, review.unmapped(self.g.entities, f).orderBy("path").collect(), links, self._touched(changed))
+
+    def _touched(self, changed) -> dict[str, dict]:
+        """What the changed entities touch, by part and entity; the first names of each."""
+        out: dict[str, dict] = {}
+        for name, df in review.analyze(self.g, changed).items():
+            df = df.filter(~review.is_noise("call")).select("id", F.col("call").alias("name")) if name == "callees" else df.select("id", "name")
+            held = numbered(df.distinct(), ["id"], "name").filter(F.col("n") <= NAMES).select("id", "name", "n").collect()
+            out[name] = {}
+            for r in sorted(held, key=lambda r: r["n"]):
+                out[name].setdefault(r["id"], []).append(r["name"])
+        out["views"] = {v["id"]: v for v in self.views.join(changed.select("id"), "id", "left_semi").collect()}
+        return out
