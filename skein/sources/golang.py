@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from skein.sources.gogrammar import failure
 from skein.sources.gotokens import lex
 from skein.sources.tokens import Tokens
 
@@ -48,6 +49,9 @@ class Source:
                 self.partner[i], self.partner[j] = j, i
         if stack:
             raise Unparsable("unexpected end of file")
+        at = failure(self.t)
+        if at is not None:
+            raise Unparsable(f"syntax error at line {self.line(self.t.starts[at])}" if at < len(k) else "unexpected end of file")
         self.package = self.t.word(1)
         self.comment_ends = {self.line(b - 1): (a, b) for a, b in self.t.comments}
 

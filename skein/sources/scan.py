@@ -89,7 +89,7 @@ def scan(files: DataFrame, old: Graph | None = None, stamps: DataFrame | None =
     Only changed files are parsed; entities of unchanged ones, and of folders that hold some,
     are carried over. The graph is validated: ``problems`` are empty if it may be stored.
     """
-    now = files.select("path", maintain.second("modified").alias("modified"))
+    now = cut(files.select("path", maintain.second("modified").alias("modified")))  # the files may change afterwards
     fresh, kept = files, None
     if old is not None and stamps is not None:
         status = maintain.changed_files(now, stamps)
@@ -112,10 +112,11 @@ def scan(files: DataFrame, old: Graph | None = None, stamps: DataFrame | None =
     edges = ranked(edges.select("*", "made_at.*").drop("made_at"), "stage", "_ord", "pos", "id", name="ord").drop("stage", "_ord", "pos")
     edges = cut(edges)
     graph = Graph(entities, edges)
-    failed = rows.filter("warning is not null").select("path")
+    warned = cut(rows.filter("warning is not null").select("path", "warning"))
+    rows.unpersist()
     seen = cut(views.compile_views(graph))
     return {
-        "graph": graph, "warnings": rows.filter("warning is not null").select("path", "warning"), "stamps": now.join(failed, "path", "left_anti"),
+        "graph": graph, "warnings": warned, "stamps": now.join(warned, "path", "left_anti"),
         "problems": maintain.validate(graph), "views": seen, "questions": views.questions(seen),
     }
 

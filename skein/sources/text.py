@@ -113,17 +113,18 @@ def parse_diff(text: str) -> tuple[list[tuple], list[tuple]]:
     (file_ord, hunk_ord, old_start, old_count, new_start, new_count, header)."""
     files: list[list] = []
     hunks: list[tuple] = []
-    inside = False
+    inside, number = False, 0
     for line in text.replace("\r\n", "\n").split("\n"):
         if line.startswith("diff --git "):
             names = re.fullmatch(r"diff --git a/(.*) b/(.*)", line)
             files.append([len(files), names[2] if names else "", names[1] if names else "", "M", 0, 0])
-            inside = False
+            inside, number = False, 0
         elif not files:
             continue
         elif m := _HUNK.match(line):
             inside = True
-            hunks.append((files[-1][0], sum(h[0] == files[-1][0] for h in hunks), *_range(m[1]), *_range(m[2]), m[3]))
+            hunks.append((files[-1][0], number, *_range(m[1]), *_range(m[2]), m[3]))
+            number += 1
         elif inside:
             files[-1][4] += line.startswith("+")
             files[-1][5] += line.startswith("-")
