@@ -246,6 +246,7 @@ _CODE = re.compile(
 )
 _SECTION = re.compile(r"(?:args|arguments|parameters|params|returns?|yields?|raises|attributes|keyword args)\s*:", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_QUALIFIED = re.compile(r"(?<![\w.])(?:\w{1,60}\.){1,3}\w+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -295,7 +296,12 @@ def _uncommented(doc: str) -> Iterator[tuple[str, bool]]:
 def words(lines: list[str], name: str) -> list[str]:
     """Words of prose, without the function's own name; of scripts without spaces, the signs."""
     own = {name.lower(), name.lower() + "s"}
-    text = re.sub(r"(?<![\w.])(?:\w{1,60}\.){0,3}" + re.escape(name) + r"\b(?:\(\))?", " ", " ".join(lines)) if name else " ".join(lines)
+    text = " ".join(lines)
+    if name and name in text:
+        if name.isidentifier():  # with what qualifies it; alone it is left out below
+            text = _QUALIFIED.sub(lambda m: " " + m[0].rpartition("." + name)[2] if name in m[0].split(".")[1:4] else m[0], text)
+        else:
+            text = re.sub(r"(?<![\w.])(?:\w{1,60}\.){0,3}" + re.escape(name) + r"\b(?:\(\))?", " ", text)
     wide = _WIDE.findall(text)
     return [w for w in _WORD.findall(_WIDE.sub(" ", text)) if w.lower() not in own] + wide
 
