@@ -87,21 +87,15 @@ def _comment_lines(tokens: Tokens) -> list[str]:
     return [tokens.text[a:b].strip("/#* \r\n") for a, b in tokens.comments]
 
 
-def regularity(kinds: list[str]) -> tuple[float, float]:
-    """(share of the sequence under the rule that covers most, grammar size to its root)."""
+def regularity(kinds: list[str], most: float = math.inf) -> tuple[float, float]:
+    """(share of the sequence under the rule that covers most, grammar size to its root); (0,
+    infinity) as soon as it is certain that the size is above ``most``."""
     ids: dict[str, int] = {}
-    g = repair.infer([ids.setdefault(k, len(ids)) for k in kinds])
+    g = repair.infer([ids.setdefault(k, len(ids)) for k in kinds], limit=most * math.sqrt(max(1, len(kinds))))
+    if g is None:
+        return 0.0, math.inf
     n = len(kinds)
-    uses = dict(g.uses)
-    total: dict[int, int] = defaultdict(int)  # times a rule stands in the whole expansion
-    for s in g.sequence:
-        if s in uses:
-            total[s] += 1
-    for r in sorted(g.rules, reverse=True):
-        for s in g.rules[r]:
-            if s in uses:
-                total[s] += total[r]
-    cover = max((uses[r] * g.lengths[r] for r in g.rules), default=0) / max(1, n)
+    cover = max((g.uses[r] * g.lengths[r] for r in g.rules), default=0) / max(1, n)
     return cover, (len(g.sequence) + 2 * len(g.rules)) / math.sqrt(max(1, n))
 
 
@@ -160,8 +154,9 @@ def verdict(language: str, text: str) -> tuple[str | None, Tokens, list[str]]:
         if n / lines > 30 and blanks < 0.15 or n / lines > 60:
             return "minified", tokens, head
     if n >= LEAST_SAID if said else n >= LEAST_TOKENS and language not in ("yaml", "json"):  # lists and tables are regular by hand too
-        cover, grammar = regularity(kinds)
-        if cover >= (MARKED_COVER if said else COVER) and grammar <= (MARKED_SIZE if said else SIZE):
+        most = MARKED_SIZE if said else SIZE
+        cover, grammar = regularity(kinds, most)
+        if cover >= (MARKED_COVER if said else COVER) and grammar <= most:
             return "generated", tokens, head
     return None, tokens, head
 
@@ -215,7 +210,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, repo, path, language, content in zip(*(batch.column(i) for i in range(5))):
             language, text = language.as_py(), content.as_py()
             kind, tokens, head = verdict(language, text)
-            package, says = package_of(path.as_py() or ""), any(map(_COPIED.search, head))
+            package, says, holder = package_of(path.as_py() or ""), any(map(_COPIED.search, head)), holder_of(head)
             prints, whole, fine, short, size = none, 0, none, none, 0
             # a text that is no code of its language is compared only if something nominates it
             code = "BAD" not in tokens.kinds and text.lstrip()[:1] != "<"
@@ -223,8 +218,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 exact = _exact(tokens)
                 whole, size = xxhash.xxh64_intdigest(exact.tobytes()) - (1 << 63), len(exact)
                 if size >= SMALLEST_COPY:
-                    prints, fine, short = fingerprints(exact), _winnowed(exact, FINE, FINE_WINNOW), _winnowed(exact, SHORT, SHORT_WINNOW)
-            for column, x in zip(out, (key.as_py(), repo.as_py() or "", kind, package, holder_of(head), says, prints, whole, fine, short, size)):
+                    prints, fine = fingerprints(exact), _winnowed(exact, FINE, FINE_WINNOW)
+                    if size <= RUN + WINNOW or package or says or holder:  # short files, and what may be nominated
+                        short = _winnowed(exact, SHORT, SHORT_WINNOW)
+            for column, x in zip(out, (key.as_py(), repo.as_py() or "", kind, package, holder, says, prints, whole, fine, short, size)):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _FIRST_KINDS)], names=[f.split()[0] for f in _FIRST.split(", ")])
 
@@ -372,32 +369,34 @@ def classify(files: DataFrame) -> DataFrame:
     own = judged.filter("kind is not null").select("file_id", "kind")
     packages = cut(nominated(judged))
 
-    # one row a content, with two of its repositories
-    open_ = judged.filter("size(prints) > 0").join(packages.select("file_id", F.lit(True).alias("nominated")), "file_id", "left")
+    # one row a content, with two of its repositories; its runs stay where they were written
+    open_ = judged.filter("size(prints) > 0").join(broadcast_if_small(packages.select("file_id", F.lit(True).alias("nominated"))), "file_id", "left")
     contents = open_.groupBy("whole").agg(
-        F.min("repo").alias("low"), F.max("repo").alias("high"), F.min("file_id").alias("one"), F.coalesce(F.max("nominated"), F.lit(False)).alias("nominated"),
-        *[F.first(c).alias(c) for c in ("prints", "fine", "short", "size")],
+        F.min("repo").alias("low"), F.max("repo").alias("high"), F.min("file_id").alias("one"), F.coalesce(F.max("nominated"), F.lit(False)).alias("nominated"), F.first("size").alias("size"),
     )
     contents = cut(contents)
 
-    def shared(prints: DataFrame) -> DataFrame:
-        """The prints that stand in several repositories, with the contents that hold them."""
-        several = prints.groupBy("print").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b").select("print")
-        return prints.join(several, "print")
+    def shared(runs: DataFrame) -> DataFrame:
+        """(whole, low, high, print) of the runs that stand in several repositories."""
+        runs = runs.withColumn("in", F.xxhash64("repo"))
+        several = runs.groupBy("print").agg(F.min("in").alias("a"), F.max("in").alias("b")).filter("a <> b").select("print")
+        return runs.select("whole", "print").join(broadcast_if_small(cut(several)), "print", "left_semi").distinct().join(contents.select("whole", "low", "high"), "whole")
 
     # a content joins the others at every shared run; what the blocks cover is put together
-    wide = contents.select("whole", "low", "high", F.explode("prints").alias("print"), F.lit(False).alias("fine"))
-    fine = contents.select("whole", "low", "high", F.explode("fine").alias("print"), F.lit(True).alias("fine"))
-    fine = fine.join(contents.filter("nominated").select(F.explode("fine").alias("print")).distinct(), "print", "left_semi")
-    placed = cut(shared(wide).unionByName(shared(fine)))
+    wide = open_.select("whole", "repo", F.explode("prints").alias("print"))
+    known = cut(open_.filter("nominated").select(F.explode("fine").alias("print")).distinct())
+    fine = open_.select("whole", "repo", F.explode("fine").alias("print")).join(broadcast_if_small(known), "print", "left_semi")
+    placed = cut(shared(wide).withColumn("fine", F.lit(False)).unionByName(shared(fine).withColumn("fine", F.lit(True))))
     blocks = cut(blocks_of(placed))
-    pairs = cut(candidates(contents))
+    some = contents.join(open_.filter("size(short) > 0").select(F.col("file_id").alias("one"), "short").dropDuplicates(["one"]), "one")
+    pairs = cut(candidates(cut(some)))
     near = pairs.unionByName(pairs.select("whole", F.col("whole").alias("other")).distinct())
     one = contents.join(blocks.select("whole").unionAll(near.select("other")).distinct(), "whole", "left_semi").select("whole", "low", "high", "one")
     texts = rows.select(F.col("file_id").alias("one"), "language", "content").dropDuplicates(["one"])
     exact = cut(one.join(texts, "one").select("whole", "language", "content").mapInArrow(_lexed, "whole long, exact array<long>"))
-    spans = blocks.join(one.drop("one"), "whole").join(exact, "whole").groupBy("block").applyInPandas(_joint, "whole long, fine boolean, start long, stop long")
-    beside = near.join(exact.withColumnRenamed("whole", "other"), "other").groupBy("whole").applyInPandas(_beside, "whole long, held boolean, start long, stop long")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # grammars cost more than their bytes tell
+    spans = blocks.join(one.drop("one"), "whole").join(exact, "whole").repartition(tasks, "block").groupBy("block").applyInPandas(_joint, "whole long, fine boolean, start long, stop long")
+    beside = near.join(exact.withColumnRenamed("whole", "other"), "other").repartition(tasks, "whole").groupBy("whole").applyInPandas(_beside, "whole long, held boolean, start long, stop long")
     beside = cut(beside)
     spans = spans.unionByName(beside.drop("held").withColumn("fine", F.lit(True)))
     span = F.struct("start", "stop")
