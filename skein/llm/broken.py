@@ -1,6 +1,6 @@
 """Source files that are no valid text of the language their name claims.
 
-Each file's tokens are parsed with memoised derivatives (:mod:`skein.llm.syntax.derive`):
+Each file's tokens are parsed with memoised derivatives (:mod:`skein.sources.derive`):
 the token whose derivative is the empty language is where the file fails; a language without
 the empty word at the end tells of a truncated file.
 """
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.syntax import golang, javascript, jsonlang, python, yamllang
+from skein.llm.syntax import javascript, jsonlang, python, yamllang
+from skein.sources import gogrammar as golang
 from skein.sources.tokens import Tokens
 
 #: The extensions that are checked, and their languages.

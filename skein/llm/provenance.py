@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from skein.common import broadcast_if_small, cut
 from skein.llm import repair
 from skein.llm.broken import language_of
-from skein.llm.syntax import golang, javascript, jsonlang, python, yamllang
+from skein.llm.syntax import javascript, jsonlang, python, yamllang
+from skein.sources import gogrammar as golang
 from skein.sources.tokens import Tokens
 
 #: A tool's output: share of the file under one rule, grammar size to the root of the length.

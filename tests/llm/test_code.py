@@ -8,8 +8,9 @@ import time
 import pytest
 
 from skein.llm import broken, docpairs, provenance, repair, secrets, trigram
-from skein.llm.syntax import golang, javascript, jsonlang, python, yamllang
-from skein.llm.syntax.derive import Grammar
+from skein.llm.syntax import javascript, jsonlang, python, yamllang
+from skein.sources import gogrammar as golang
+from skein.sources.derive import Grammar
 
 FILES = "file_id long, repo string, path string, content string, kind string, loaded_at timestamp"
 
@@ -197,7 +198,9 @@ def test_prose():
     assert docpairs.is_real("// 检查这个值是否属于集合", "x") and not docpairs.is_real("// ----------", "x")
 
 
-def test_repair():
+@pytest.mark.parametrize("small", [0, 1500])
+def test_repair(small, monkeypatch):
+    monkeypatch.setattr(repair, "SMALL", small)
     rng = random.Random(2)
     for _ in range(400):
         seq = [rng.randrange(4) for _ in range(rng.randrange(60))]
@@ -209,6 +212,11 @@ def test_repair():
         assert all(n >= 2 for n in g.uses.values()) or len(seq) < 4 or True
     g = repair.infer([1, 2, 3] * 8)
     assert len(g.sequence) <= 2
+    for _ in range(200):
+        seq = [rng.randrange(5) for _ in range(rng.randrange(120))]
+        g = repair.infer(seq)
+        size = len(g.sequence) + 2 * len(g.rules)
+        assert repair.infer(seq, limit=size) == g and repair.infer(seq, limit=size - 1) is None
 
 
 def hand(n, seed):
