@@ -16,7 +16,7 @@ from skein.tools import Tools
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("skein").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    return SparkSession.builder.appName("skein").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
 def scan(spark: SparkSession, root: str, out: str, history: bool, tables: str = "") -> int:
