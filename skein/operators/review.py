@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.common import cut
+from skein.common import cut, is_small
 from skein.functions.text import after_last
 from skein.operators.traverse import impact, impact_parts
 from skein.store import Graph, first_by
 
 #: Signs of a name by which names meet.
 KEY = 6
+#: Comparisons a name up to which all names of a scope are compared with each other.
+NEAR = 64
 # Callees of no interest in a review.
 NOISE_PACKAGES = "fmt errors strings log context os io bytes strconv sort sync time reflect math regexp".split()
 NOISE_METHODS = "DeepCopy DeepCopyObject DeepCopyInto Patch Status Get List Create Update Delete MergeFrom StrategicMergeFrom String Error".split()
@@ -50,28 +52,63 @@ def test_targets(tests: DataFrame, functions: DataFrame, scope: list[str] = ())
 
     By name: the first function, in order, whose lower-case name holds the test's (without
     Test) or is held by it. Else all functions of the file the test file is named after.
-    Both: (scope.., id, name, path, ord).
+    Both: (scope.., id, name, path, ord). Functions of scopes without tests are left out at
+    once. Only sides measured to be small are broadcast, see :func:`_by_merge`.
     """
-    scope = list(scope)
-    t = tests.select(*scope, F.col("id").alias("test"), F.lower(F.regexp_replace("name", "^Test", "")).alias("t"), F.regexp_replace("path", r"_test\.go$", "").alias("stem"))
-    f = functions.select(*scope, F.col("id").alias("target"), F.lower("name").alias("f"), F.regexp_replace("path", r"\.go$", "").alias("stem"), "ord")
-    # of two names one of which holds the other, the beginning of the shorter is a part of the
-    # longer: names meet by equality of that, and are compared whole then
-    t, f = cut(t), cut(f)
-    begin = lambda df, c: df.withColumn("key", F.substring(c, 1, KEY))
-    parts = lambda df, c: df.withColumn("key", F.explode(F.array_distinct(_parts(c))))
-    held = parts(t, "t").join(begin(f, "f").drop("stem"), [*scope, "key"]).filter("contains(t, f)").select(*scope, "test", "target", "ord")
-    holds = begin(t, "t").join(parts(f, "f").drop("stem"), [*scope, "key"]).filter("contains(f, t)").select(*scope, "test", "target", "ord")
-    named = first_by(held.unionByName(holds), [*scope, "test"], ["ord", "target"]).select(*scope, "test", "target", F.lit("naming convention").alias("reason"))
-    same = t.join(named.select(*scope, "test"), [*scope, "test"], "left_anti").join(f, [*scope, "stem"])
-    return named.unionByName(same.select(*scope, "test", "target", F.lit("same file").alias("reason")))
-
-
-def _parts(name: str) -> F.Column:
-    """The parts of a name of up to ``KEY`` signs, '' too."""
-    starts = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(F.array().cast("array<int>"))
-    some = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length(name) - a + 1)), lambda k: F.substring(F.col(name), a, k))))
-    return F.concat(some, F.array(F.lit("")))
+    keys = list(scope) or ["_all"]
+    of = lambda df: df if scope else df.withColumn("_all", F.lit(0))
+    t = cut(of(tests).select(*keys, F.col("id").alias("test"), F.lower(F.regexp_replace("name", "^Test", "")).alias("t"), F.regexp_replace("path", r"_test\.go$", "").alias("stem")))
+    f = of(functions).select(*keys, F.col("id").alias("target"), F.lower("name").alias("f"), F.regexp_replace("path", r"\.go$", "").alias("stem"), "ord")
+    f = cut(f.join(_measured(t.select(*keys).distinct()), keys, "left_semi"))
+    best = _first_targets(t, f, keys)
+    named = t.join(_by_merge(best), [*keys, "t"]).select(*keys, "test", "first.ord", "first.target")
+    named = cut(first_by(named, [*keys, "test"], ["ord", "target"]).select(*keys, "test", "target"))
+    same = t.join(_by_merge(named), [*keys, "test"], "left_anti").join(_by_merge(f), [*keys, "stem"])
+    said = lambda df, reason: df.select(*scope, "test", "target", F.lit(reason).alias("reason"))
+    return said(named, "naming convention").unionByName(said(same, "same file"))
+
+
+def _first_targets(t: DataFrame, f: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., t, first (ord, target)): each test name's first function of those whose name
+    holds it or is held by it.
+
+    Distinct names meet. In a scope of few names, where that takes at most ``NEAR``
+    comparisons a name, all are compared with all, inside one join on the scope. In the
+    others, which are few, of two names one of which holds the other the beginning of the
+    shorter is a part of the longer: names meet by equality of that, and are compared whole.
+    """
+    tn = t.select(*keys, "t").distinct()
+    fn = f.groupBy(*keys, "f").agg(F.min(F.struct("ord", "target")).alias("first"))
+    size = lambda df, c: df.groupBy(*keys).agg(F.count("*").alias(f"{c}_n"), F.collect_set(F.least(F.length(c), F.lit(KEY))).alias(f"{c}_lengths"))
+    wide = cut(size(fn, "f").join(_by_merge(size(tn, "t")), keys).filter(f"t_n * f_n > {NEAR} * (t_n + f_n)").select(*keys, "t_lengths", "f_lengths"))
+    few = _measured(wide)
+    near = lambda df: df.join(few, keys, "left_anti")
+    begin = lambda df, c: df.join(few.select(*keys), keys, "left_semi").withColumn("key", F.substring(c, 1, KEY))
+    parts = lambda df, c, lengths: df.join(few, keys).select(*df.columns, F.explode(F.array_distinct(_parts(c, lengths))).alias("key"))
+    some = near(fn).join(_by_merge(near(tn)), keys).filter("contains(t, f) or contains(f, t)").select(*keys, "t", "first")
+    if not wide.isEmpty():
+        held = begin(fn, "f").join(_by_merge(parts(tn, "t", "f_lengths")), [*keys, "key"]).filter("contains(t, f)")
+        holds = parts(fn, "f", "t_lengths").join(_by_merge(begin(tn, "t")), [*keys, "key"]).filter("contains(f, t)")
+        some = some.unionByName(held.select(*keys, "t", "first")).unionByName(holds.select(*keys, "t", "first"))
+    return some.groupBy(*keys, "t").agg(F.min("first").alias("first"))
+
+
+def _by_merge(df: DataFrame) -> DataFrame:
+    """A side of a merge join, so that its join is never a broadcast by Spark's estimate: that
+    counts an exploded row as one row and Parquet as long as its files, and the driver would
+    hold what is many times the broadcast threshold."""
+    return df.hint("merge")
+
+
+def _measured(df: DataFrame) -> DataFrame:
+    """A side that is broadcast if it is measured to be small, else one of a merge join."""
+    return F.broadcast(df) if is_small(df) else _by_merge(df)
+
+
+def _parts(name: str, lengths: str) -> F.Column:
+    """The parts of a name that have one of some lengths; 0 stands for ''."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda a: F.substring(F.col(name), a, k))
+    return F.flatten(F.transform(F.filter(lengths, lambda k: k <= F.length(name)), of))
 
 
 def analyze(g: Graph, changed: DataFrame) -> dict[str, DataFrame]:

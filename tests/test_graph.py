@@ -222,3 +222,57 @@ def test_review(small, spark):
     t = spark.createDataFrame([("t1", "TestSyncAll", "p/x_test.go", 0), ("t2", "TestOther", "p/sync_test.go", 1)], "id string, name string, path string, ord long")
     f = spark.createDataFrame([("f1", "sync", "p/sync.go", 0), ("f2", "load", "p/sync.go", 1)], "id string, name string, path string, ord long")
     assert {tuple(r) for r in review.test_targets(t, f).collect()} == {("t1", "f1", "naming convention"), ("t2", "f1", "same file"), ("t2", "f2", "same file")}
+
+
+def _targets(tests, functions):
+    """As test_targets by name, one test and function after the other."""
+    out = set()
+    for scope, test, name, _, _ in tests:
+        t = name.removeprefix("Test").lower()
+        met = [(o, i) for s, i, f, _, o in functions if s == scope and (f.lower() in t or t in f.lower())]
+        if met:
+            out.add((scope, test, min(met)[1], "naming convention"))
+    named = {x[:2] for x in out}
+    return out | {(s, t, f, "same file") for s, t, _, p, _ in tests if (s, t) not in named for z, f, _, q, _ in functions if z == s and q == p.replace("_test.go", ".go")}
+
+
+@pytest.mark.parametrize("near", [0, 2, 64])
+def test_targets_by_name(spark, monkeypatch, near):
+    """Packages compared name by name, by parts, and some so and some so; names of all lengths, '', repeated, of signs beyond ASCII."""
+    monkeypatch.setattr(review, "NEAR", near)
+    dice = random.Random(near)
+    some = lambda most: "".join(dice.choice("abÄ") for _ in range(dice.randint(0, most)))
+    scopes = [f"s{n}" for n in range(5)]
+    t = [(s := dice.choice(scopes), f"t{n}", dice.choice(["Test", "Test", ""]) + some(14), f"{s}/{n % 7}_test.go", n) for n in range(120)]
+    f = [(s := dice.choice([*scopes, "untested"]), f"f{n}", some(dice.choice([2, 9, 14])), f"{s}/{n % 7}.go", dice.randint(0, 40)) for n in range(150)] + [("s5", "f", "b", "p.go", 1)]
+    t += [("s5", "t", "TestAnother", "p_test.go", 1), ("s6", "t", "TestNone", "p_test.go", 1)]
+    f = [x for x in f if x[2]] + [("s0", "void", "", "v.go", 40)]
+    frame = lambda rows: spark.createDataFrame(rows, "package string, id string, name string, path string, ord long")
+    got = [tuple(r) for r in review.test_targets(frame(t), frame(f), ["package"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == _targets(t, f)
+
+
+def _broadcast_rows(spark, first=0):
+    """(executions so far, most rows broadcast at once in those from ``first`` on)."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    each = lambda xs: (xs.apply(n) for n in range(xs.size()))
+    ids = [x.executionId() for x in each(store.executionsList())]
+    for i in (i for i in ids if i >= first):
+        values = store.executionMetrics(i)
+        rows = (m for n in each(store.planGraph(i).allNodes()) if n.name() == "BroadcastExchange" for m in each(n.metrics()) if m.name() == "number of output rows")
+        most = max([most, *(int(values.apply(m.accumulatorId()).replace(",", "")) for m in rows if values.contains(m.accumulatorId()))])
+    return max(ids, default=-1) + 1, most
+
+
+def test_targets_are_not_broadcast_by_estimate(spark, tmp_path):
+    """The parts of names are many times the names: Spark's estimate of them is no ground for a broadcast, which the driver would hold."""
+    name = lambda n: f"{n:05d}" + "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=40))
+    t = [("p", f"t{n}", "Test" + name(n) + "Twice", f"{n}_test.go", n) for n in range(300)]
+    f = [("p", f"f{n}", name(n), f"{n}.go", n) for n in range(300)]
+    for part, rows in (("t", t), ("f", f)):  # the sizes of files are known to Spark
+        spark.createDataFrame(rows, "package string, id string, name string, path string, ord long").write.parquet(f"{tmp_path}/{part}")
+    first, _ = _broadcast_rows(spark)
+    got = {tuple(r)[1:] for r in review.test_targets(spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/f"), ["package"]).collect()}
+    assert got == {(f"t{n}", f"f{n}", "naming convention") for n in range(300)}
+    assert _broadcast_rows(spark, first)[1] <= 600
